@@ -354,12 +354,13 @@ def v_scale_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     SELECT rule, count(*)::BIGINT AS n FROM (
-      SELECT CASE WHEN round({quotient("gross_revenue", "order_count")}, 2) = (gross_revenue::DOUBLE / order_count)::DECIMAL(38,2) THEN 'both' ELSE 'exact only' END AS rule FROM int_orders_daily) GROUP BY 1""")
+      SELECT CASE WHEN (round({quotient("gross_revenue", "order_count")}, 2) * 100)::BIGINT = floor((gross_revenue * 100)::BIGINT::DOUBLE / 100 / order_count * 100 + 0.5)::BIGINT THEN 'both' ELSE 'exact only' END AS rule FROM int_orders_daily) GROUP BY 1""")
 def v_division_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often an exact quotient and one by way of doubles give the same cents."""
     rows = graph(spark, sf_dir)["int_orders_daily"]
-    exact = fn.round_money(fn.quotient("gross_revenue", "order_count"))
-    loose = (F.col("gross_revenue").cast("double") / F.col("order_count")).cast("decimal(38,2)").cast(fn.MONEY)
+    exact = (fn.round_money(fn.quotient("gross_revenue", "order_count")).cast("decimal(30,2)") * 100).cast("long")
+    revenue = (F.col("gross_revenue").cast("decimal(30,2)") * 100).cast("long").cast("double") / 100
+    loose = F.floor(revenue / F.col("order_count") * 100 + 0.5)
     return rows.groupBy(F.when(exact == loose, "both").otherwise("exact only").alias("rule")).agg(F.count("*").alias("n"))
 
 

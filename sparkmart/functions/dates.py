@@ -27,7 +27,7 @@ def format_date(c: Column | str, code: str) -> Column:
                 raise ValueError(f"no such date code: {piece!r}; there are {', '.join(CODES)}")
             out.append(CODES[piece])
         else:
-            out.append("".join(f"'{x}'" if x.isalpha() else "''" if x == "'" else x for x in piece))
+            out.append(re.sub("[A-Za-z]+", r"'\g<0>'", piece.replace("'", "''")))
     return F.date_format(column(c), "".join(out))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NULL = "\\N"
+#: White space at the ends of a text is kept.
+CSV = {"header": True, "nullValue": "\\N", "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def read_parquet(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None, with_file: bool = False) -> DataFrame:
@@ -42,14 +43,14 @@ def texts(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str) -> None:
     r"""A header, and \N for null; Spark itself refuses nested columns, which `texts` makes text before."""
-    texts(df).write.mode("overwrite").option("header", True).option("nullValue", NULL).option("emptyValue", "").option("escape", '"').csv(path)
+    texts(df).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The declared types, from files of `write_csv`; nothing is inferred."""
     plain = (T.StringType, T.LongType, T.IntegerType, T.DoubleType, T.BooleanType, T.DateType)
     raw = T.StructType([T.StructField(f.name, f.dataType if isinstance(f.dataType, plain) else T.StringType()) for f in schema])
-    df = spark.read.option("header", True).option("nullValue", NULL).option("emptyValue", "").option("escape", '"').schema(raw).csv(path)
+    df = spark.read.options(**CSV).schema(raw).csv(path)
 
     def back(f: T.StructField):
         c = F.col(f"`{f.name}`")
@@ -132,7 +133,7 @@ def scanned(df: DataFrame) -> dict[str, int]:
 
 def estimated_bytes(df: DataFrame) -> int:
     """What the optimiser believes a query reads and makes: a dry run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def guarded(df: DataFrame, limit: int) -> DataFrame:
