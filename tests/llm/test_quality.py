@@ -43,7 +43,7 @@ def test_kept_documents_are_those_judged_kept(spark):
 def test_hosts_decide_on_doubtful_documents(spark):
     good = " ".join(f"word{k}" for k in range(80))
     doubtful = good + " " + "#" * 90
-    rows = [(k, good, "en", "clean", 0) for k in range(400)] + [(1000, doubtful, "en", "clean", 0)] + [(2000 + k, doubtful, "en", "spam", 0) for k in range(50)] + [(3000, good, "en", "spam", 0)]
+    rows = [(k, good, "en", "clean", 0) for k in range(400)] + [(1000, doubtful, "en", "clean", 0)] + [(2000 + k, doubtful, "en", "spam", 0) for k in range(50)] + [(3000 + k, good, "en", "spam", 0) for k in range(5)]
     got = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1000] and got[0] and not got[2000] and got[3000]
 
