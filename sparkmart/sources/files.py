@@ -141,3 +141,32 @@ def guarded(df: DataFrame, limit: int) -> DataFrame:
     if (n := estimated_bytes(df)) > limit:
         raise RuntimeError(f"the query is estimated at {n} bytes; the limit is {limit}")
     return df
+
+
+def insert_rows(spark: SparkSession, name: str, df: DataFrame) -> None:
+    """Appends rows to a catalog table, by column name."""
+    df.select(*spark.table(name).columns).write.insertInto(name)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {'.'.join(f'`{p}`' for p in name.split('.'))}")
+
+
+def remote_query(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
+    """A query that another database runs, by JDBC; filters and columns asked of the result are pushed to it. Its driver must be on the class path."""
+    return spark.read.format("jdbc").option("url", url).option("query", query).options(**options).load()
+
+
+def remote_table(spark: SparkSession, url: str, table: str, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of another database, read in ranges of a numeric key."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    if key:
+        if bounds is None:
+            raise ValueError("a key needs bounds")
+        reader = reader.option("partitionColumn", key).option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
+    return reader.load()
+
+
+def partition_summary(df: DataFrame, partition: str, key: str) -> DataFrame:
+    """(partition, n_rows, first, last): rows and the range of a key in each partition, the one for null too."""
+    return df.groupBy(F.col(partition).cast("string").alias("partition")).agg(F.count("*").alias("n_rows"), F.min(key).alias("first"), F.max(key).alias("last"))
