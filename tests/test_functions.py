@@ -63,9 +63,9 @@ CASES = {
     "quarters": (lambda: F.size(fn.date_series(day("2023-01-01"), day("2024-01-01"), "1 quarter")), 5),
     "weeks": (lambda: F.size(fn.date_series(day("2024-01-01"), day("2024-01-29"), "2 weeks")), 3),
     "no dates": (lambda: fn.date_series(day("2024-03-03"), day("2024-03-01")), []),
-    "found at the start": (lambda: fn.matches(F.lit("LifeOS"), "^Life"), True),
-    "not found": (lambda: fn.matches(F.lit("LifeOS"), "^Nope"), False),
-    "found within": (lambda: fn.matches(F.lit("LifeOS"), "OS"), True),
+    "found at the start": (lambda: fn.matches(F.lit("StarDust"), "^Star"), True),
+    "not found": (lambda: fn.matches(F.lit("StarDust"), "^Nope"), False),
+    "found within": (lambda: fn.matches(F.lit("StarDust"), "Dust"), True),
     "json": (lambda: fn.json_value(fn.struct_of(("a", 1), ("b", 2))), '{"a":1,"b":2}'),
     "json null": (lambda: fn.json_value(fn.struct_of(("a", None, fn.INT))), '{"a":null}'),
     "key": (lambda: fn.surrogate_key(F.lit(1), F.lit("x")), "df6729622b8fb993f31b1ba95a27e5cc"),
