@@ -18,7 +18,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 U64 = np.uint64
 #: Bytes of text that are worked on at once; one text may be longer.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
