@@ -25,7 +25,7 @@ from .common import U64, Scratch, buffers, chunks, mix, span_hashes, windows, wo
 #: Signs that count as symbols, and the limits of the rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEATED = 50, 50
-SOFT, BLOCKED = 0.02, 0.95
+SOFT, BLOCKED = 0.05, 0.95
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -76,8 +76,8 @@ def base_failed(c: dict) -> np.ndarray | Column:
 
 
 def soft_failed(c: dict) -> np.ndarray | Column:
-    """More than one symbol for two words, or over half of the words' lines repeated (30 words a line)."""
-    return (2 * c["n_symbols"] > c["n_words"]) | (60 * c["n_dup_lines"] > c["n_words"])
+    """More than one symbol for two words, or three repeated lines and more that hold half of the words at ten words a line."""
+    return (2 * c["n_symbols"] > c["n_words"]) | ((c["n_dup_lines"] >= 3) & (20 * c["n_dup_lines"] > c["n_words"]))
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:

@@ -129,7 +129,7 @@ c AS (
   FROM d LEFT JOIN repeated USING (doc_id)),
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    2 * n_symbols > n_words OR 60 * n_dup_lines > n_words AS soft_failed FROM c),
+    2 * n_symbols > n_words OR (n_dup_lines >= 3 AND 20 * n_dup_lines > n_words) AS soft_failed FROM c),
 hosts AS (
   SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed OR soft_failed)::DOUBLE AS f FROM f GROUP BY source),
 m AS (
@@ -138,7 +138,7 @@ p AS (
   SELECT m, least(greatest(CASE WHEN s - m * m > 1e-9 AND hosts > 1 THEN m * (1 - m) / (s - m * m) - 1 ELSE 1000 END, 1), 1000) AS weight FROM m),
 rates AS (SELECT source AS host, (f + m * weight) / (n + weight) AS rate FROM hosts, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (soft_failed AND rate >= 0.02) AND rate < 0.95 AS kept
+  NOT base_failed AND NOT (soft_failed AND rate >= 0.05) AND rate < 0.95 AS kept
 FROM f JOIN rates ON source IS NOT DISTINCT FROM host
 """
 
