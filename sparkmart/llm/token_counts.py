@@ -91,7 +91,8 @@ def counted(docs: DataFrame, tokenizer: str, cache_path: str | None = None, id_c
     Without a path the cache is a table of its own in the shared folder.
     """
     spark = docs.sparkSession
-    cache_path = cache_path or Scratch(spark).path("cache")
+    scratch = Scratch(spark)
+    cache_path = cache_path or scratch.path("cache")
     version = tokenizer_digest(tokenizer)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     stored = cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
@@ -120,5 +121,7 @@ def counted(docs: DataFrame, tokenizer: str, cache_path: str | None = None, id_c
     misses = first.join(stored, "digest", "left_anti").dropDuplicates(["digest"])
     misses.select("digest", "text").mapInArrow(encode, CACHE).write.mode("append").parquet(cache_path)
     now = cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    # as a table, so that the join deals both sides out by itself and can split a digest that many rows have
+    now = scratch.write(now, "counts")
     slim = rows.select(F.col(id_col), "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return slim.join(now, "digest", "left").select(F.col(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
