@@ -121,8 +121,10 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_c
     asked = quantised(queries, id_col, vec_col).groupBy("id").agg(F.min("w").alias("w"))
     asked = scratch.write(blobs(asked.repartitionByRange("id").sortWithinPartitions("id"), QUERIES, "asked"), "asked")
     named = [F.col(x).alias(f"q_{x}") for x in ("n", "width", "ids", "w")]
-    # each query block meets each shard: a constant key, and as many rows as block pairs
-    pairs = shards.withColumn("one", F.lit(1)).join(asked.select("asked", *named).withColumn("one", F.lit(1)), "one").repartition("shard", "asked")
+    # shards are dealt into groups, and each query block goes to every group: as many rows as block pairs
+    groups = min(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, shards.count()))
+    group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")
+    pairs = shards.withColumn("group", F.pmod(F.xxhash64("shard"), F.lit(groups)).cast("int")).join(asked.select(group, *named), "group")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
