@@ -1,7 +1,8 @@
 """Chat formatting from an event log.
 
-A conversation is a log of events (conv, seq, message, kind, role, text): `message` sets a message's
-text, `delta` adds to it (streamed output), `edit` replaces it, `regenerate` empties it for new deltas.
+A conversation is a log of events (conv, seq, message, kind, role, text): `message` begins a message (each
+one its own, so that rows which repeat a turn are all kept), `delta` adds to it (streamed output), `edit`
+replaces its text, `regenerate` empties it for new deltas; these three go to the last message of their number.
 The log is dealt out by conversation and sorted by message, then sequence, so the events of a message follow
 each other; a message is folded and rendered as its last event has passed, and a task holds one message
 at a time, however long a conversation is.
@@ -22,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -78,7 +79,7 @@ def formatted(events: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for conv, message, kind, r, t in zip(*(batch.column(c).to_pylist() for c in ("conv", "message", "kind", "role", "text"))):
-                if now != (conv, message):
+                if now != (conv, message) or kind == "message":
                     if now:
                         rows.append((*now, role, *render(role, "".join(text))))
                     now, role, text = (conv, message), r or "", []
@@ -102,16 +103,8 @@ def formatted(events: DataFrame) -> DataFrame:
 
 def events_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A log with one message per row; rows of equal turns are messages of their own, in order of role and text."""
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("conv", "seq").orderBy("role", "text"))
-    log = rows.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("seq"), F.lit("message").alias("kind"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    same = log.groupBy("conv", "seq").count().where("count > 1")
-    # repeated turns are rare; only their rows are numbered
-    twice = log.join(same, (log.conv.eqNullSafe(same.conv)) & (log.seq.eqNullSafe(same.seq)), "left_semi")
-    once = log.join(same, (log.conv.eqNullSafe(same.conv)) & (log.seq.eqNullSafe(same.seq)), "left_anti")
-    place: Column = F.coalesce(F.col("seq"), F.lit(-(2**40))) * (1 << 20)
-    return once.withColumn("message", place).unionByName(twice.withColumn("message", place + number)).select("conv", "message", "seq", "kind", "role", "text")
+    at = F.col(turn).cast("long")
+    return rows.select(F.col(conv).cast("long").alias("conv"), at.alias("message"), at.alias("seq"), F.lit("message").alias("kind"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def digests(turns: DataFrame) -> DataFrame:
