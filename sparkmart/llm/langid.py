@@ -2,8 +2,8 @@
 
 A text is the average of the embeddings of all its subwords, byte 2-, 3- and 4-grams with white space as
 one sign and A-Z lower-cased, hashed into `BUCKETS`. Embeddings and the output layer are trained together by
-stochastic gradient descent in numpy on the driver. The training sample is bounded: at most `PER_LANG`
-documents of each of at most `MAX_LANGS` labels, those with the least hash of their id; of each document the driver gets its
+stochastic gradient descent in numpy on the driver. The training sample is bounded: about `PER_LANG`
+documents of each of at most `MAX_LANGS` labels, chosen by a hash of their id; of each document the driver gets its
 subword counts (at most BUCKETS numbers), made on the executors from the whole text. A fifth of the
 sample sets the softmax's temperature and the least score that isn't rejected.
 
@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, U64, buffers, chunks
 
 BUCKETS, DIM, PER_LANG, MAX_LANGS, CALIBRATION = 1 << 14, 12, 400, 500, 0.2
+SHARES = 1 << 40
 #: Share of the calibration texts that may be rejected.
 REJECT = 0.002
 NORMAL = np.where(SPACE, 0x20, LOWER).astype(np.uint8)
@@ -84,18 +85,24 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
-    """Rows (lang, buckets, counts): of each label, PER_LANG documents with the least hash of their id."""
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
-    slim = rows.select("lang", "id", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= PER_LANG)
-    picked = slim.select("id", "lang").distinct().orderBy(F.xxhash64("id"), "lang").limit(PER_LANG * MAX_LANGS)
-    chosen = {(x["id"], x["lang"]) for x in picked.collect()}
-    ids = docs.sparkSession.sparkContext.broadcast(chosen)
+    """Rows (lang, buckets, counts) of about PER_LANG documents of each label: those whose id's hash is below a share of its range.
+
+    The share is PER_LANG over the label's documents, so no label's rows are gathered or sorted. Labels are the MAX_LANGS most
+    frequent; if rows that repeat an id go over the bound, as many as it allows are taken.
+    """
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(SHARES)).alias("h"), F.col(text_col).alias("text"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    if not sizes:
+        return []
+    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1, PER_LANG / r["n"]) * SHARES)))))
+
+    picked, most = rows.where(F.col("h") < share[F.col("lang")]), 2 * PER_LANG * len(sizes)
+    if picked.select("id").count() > most:
+        picked = picked.limit(most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mask = pa.array([x in ids.value for x in zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist())], pa.bool_())
-            for part in chunks(batch.filter(mask), "text"):
+            for part in chunks(batch, "text"):
                 buf, offs = buffers(part.column("text"))
                 grams = [subwords(buf, offs, n) for n in (2, 3, 4)]
                 at, n = [], []
@@ -106,7 +113,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
                     n.append(c[b].astype(np.int32))
                 yield pa.record_batch({"id": part.column("id").cast(pa.int64()), "lang": part.column("lang"), "at": pa.array([x.tobytes() for x in at], pa.binary()), "n": pa.array([x.tobytes() for x in n], pa.binary())})
 
-    got = rows.select("id", "lang", "text").mapInArrow(run, "id long, lang string, at binary, n binary").collect()
+    got = picked.select("id", "lang", "text").mapInArrow(run, "id long, lang string, at binary, n binary").collect()
     return sorted(got, key=lambda r: (r["id"] is None, r["id"] or 0, r["lang"], r["at"], r["n"]))
 
 
