@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, Scratch, buffers, chunks, span_hashes, words
 
-CAPACITY, SHARD = 4096, 8192
+CAPACITY, SHARD = 4096, 2048
 SCHEMA = "doc_id long, piece int, first_unit long, n_units long, bin_id long, bin_offset long, bin_units long"
 #: Bins that a step of the successor search looks at together.
 STEP = 128
@@ -130,6 +130,8 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", te
     rows = scratch.write(sized(docs, id_col, text_col, source_col), "sizes")
     shards = 1 + rows.count() // SHARD
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", "group"), F.lit(shards)).cast("int"))
+    # a given number, as rows are few bytes and would be gathered into few tasks
+    dealt = dealt.repartition(min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
 
     def run(key: tuple[pa.Scalar, ...], got: pa.Table) -> pa.Table:
         shard = key[0].as_py()
