@@ -163,7 +163,9 @@ def read(index: DataFrame, folder: str, payload: bool = False) -> DataFrame:
         return pa.record_batch([pa.array(c, t) for c, t in list(zip(zip(*rows), kinds))[:keep]], names=names[:keep])
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+    # a given number, as index rows are few bytes and would be gathered into few tasks
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return index.select("file", "offset", "length").repartition(tasks, "file").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
