@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, buffers, chunks, joined, mix, span_hashes, windows, words
+from . import near
+from .common import LOWER, U64, Scratch, buffers, chunks, joined, mix, words
 from .components import star_edges
 
 BLOCK = 1024
@@ -62,43 +63,13 @@ def exact_fingerprints(buf: np.ndarray, offs: np.ndarray, width: int, seed: int
     return sign_bits(h, edge)[:, None]
 
 
-def wide_fingerprints(buf: np.ndarray, offs: np.ndarray, width: int, lanes: int = 4) -> np.ndarray:
-    """64 * `lanes` bits from hashes of each distinct run of `width` lower-cased words."""
-    buf = LOWER[buf]
-    starts, ends, first = words(buf, offs)
-    n = np.diff(first)
-    h = span_hashes(buf, starts, ends, 0x51)
-    run = windows(h, width) if len(h) >= width else np.zeros(0, U64)
-    shingles = np.where(n > 0, np.maximum(1, n - width + 1), 0)
-    edge = np.concatenate([[0], np.cumsum(shingles)])
-    a = np.arange(edge[-1]) - np.repeat(edge[:-1], shingles) + np.repeat(first[:-1], shingles)
-    out = np.zeros(len(a), U64)
-    full = np.repeat(n >= width, shingles)
-    out[full] = run[a[full]]
-    for k in np.flatnonzero((n > 0) & (n < width)):  # fewer words: the whole sequence
-        x = U64(n[k])
-        for w in h[first[k] : first[k + 1]]:
-            x = mix(np.array([x ^ w], U64))[0]
-        out[edge[k]] = x
-    # each shingle of a text once, as similarity is of sets
-    text = np.repeat(np.arange(len(n)), shingles)
-    order = np.lexsort((out, text))
-    out, text = out[order], text[order]
-    new = np.ones(len(out), bool)
-    new[1:] = (out[1:] != out[:-1]) | (text[1:] != text[:-1])
-    edge = np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(n)))])
-    out = out[new]
-    return np.stack([sign_bits(mix(out + U64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)), edge) for k in range(lanes)], 1)
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, wide: bool = False) -> DataFrame:
-    """(id, fp): binary of 8 or 32 bytes, the high byte of each eight first. No words, or null: all bits zero."""
-    make = wide_fingerprints if wide else exact_fingerprints
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+    """(id, fp): binary of 8 bytes, the high byte first. No words, or null: all bits zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text_col):
-                fp = np.ascontiguousarray(make(*buffers(part.column(text_col)), width), dtype=">u8")
+                fp = np.ascontiguousarray(exact_fingerprints(*buffers(part.column(text_col)), width), dtype=">u8")
                 size = 8 * fp.shape[1]
                 data = pa.py_buffer(fp.tobytes())
                 edge = pa.py_buffer(np.arange(0, size * (len(fp) + 1), size, dtype=np.int32)[: len(fp) + 1])
@@ -287,18 +258,15 @@ def blocks(e: DataFrame) -> DataFrame:
     return e.join(hot, "key", "left").select("key", F.explode(pair).alias("part"), "node", "fp")
 
 
-def components(fps: DataFrame, most: int, size: int, groups: int | range, scratch: Scratch, guarantee: int | None = None) -> DataFrame:
+def components(fps: DataFrame, most: int, size: int, groups: int | range, scratch: Scratch) -> DataFrame:
     """(fp, node, component_id) for every distinct fingerprint; node: its smallest id. fps: (id, fp).
 
-    Every pair within `guarantee` bits (by default `most`, then none is missed) is found, and of the
-    pairs up to `most` bits those that agree on a partition. Fingerprints whose ids are all null
-    make no links.
+    Every pair within `most` bits is found. Fingerprints whose ids are all null make no links.
     """
-    guarantee = most if guarantee is None else guarantee
     nodes = scratch.write(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
     real = nodes.where("node is not null")
     n, joint = joint_counts(real, size)
-    parts, thresholds = plan(n, joint, guarantee, groups if isinstance(groups, range) else range(groups, groups + 1))
+    parts, thresholds = plan(n, joint, most, groups if isinstance(groups, range) else range(groups, groups + 1))
     e = blocks(entries(real, size, parts, thresholds))
     stars = star_edges(linked(e.repartition("key", "part").sortWithinPartitions("key", "part"), size, most), scratch)
     return nodes.join(stars.withColumnRenamed("u", "node").withColumnRenamed("v", "root"), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("component_id"))
@@ -317,14 +285,5 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of groups of texts whose five-word shingles have an estimated similarity of 0.8 or more.
-
-    256 bits; a Jaccard similarity J of shingles is a cosine of 2J / (1 + J), which bits show as a share of
-    differing bits of acos(cosine) / pi: 38 of 256 at 0.8, with a standard deviation of 6. Links go to 46
-    bits, so that nine in ten pairs at 0.8 are within; pairs of random texts differ in 128. 21 partitions
-    of 12 or 13 bits find every pair within 20 bits, and 96 % of pairs at 38.
-    """
-    scratch = Scratch(docs.sparkSession)
-    fps = scratch.write(fingerprints(docs, id_col, text_col, 5, wide=True), "fps")
-    found = components(fps, 46, 32, 21, scratch, guarantee=20)
-    return fps.join(found, "fp", "left").select("id", "component_id")
+    """(id, component_id) of groups of texts whose five-word shingles have a similarity of 0.8 or more, by `near.groups`."""
+    return near.groups(docs, id_col, text_col).select("id", F.col("least").alias("component_id"))
