@@ -1,10 +1,13 @@
 """Groups of near duplicates against brute force."""
 
 import random
+from itertools import combinations
 
-from sparkmart.llm import simhash
+import pytest
 
-from .helpers import SCHEMA, words
+from sparkmart.llm import near, simhash
+
+from .helpers import SCHEMA, awkward, empty, frame, words
 
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -18,6 +21,15 @@ def similarity(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def closure(sets):
+    label = list(range(len(sets)))
+    for a, b in combinations(range(len(sets)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and label[a] != label[b]:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+    return label
+
+
 def changed(rng, text, n):
     text = list(text)
     for at in rng.sample(range(len(text)), n):
@@ -41,3 +53,27 @@ def test_no_pair_at_080_to_085_is_missed(spark):
             texts += [base, copy]
     got = grouped(spark, texts)
     assert sum(got[a] == got[b] == a for a, b in pairs) / len(pairs) == 1  # recall
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_equals_brute_force(spark, monkeypatch, block):
+    """One large group of near copies, a passage that many texts share, and similarities on both sides of 0.8."""
+    monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "SAMPLE", 2)
+    rng = random.Random(7)
+    fresh = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    base = fresh(100)
+    texts = [changed(rng, base, rng.randint(0, 3)) for _ in range(60)]
+    for k in range(40):
+        one = fresh(100)
+        texts += [one, changed(rng, one, 1 + k % 4)]
+    texts += [fresh(3), fresh(4), fresh(5), fresh(1)]
+    assert grouped(spark, texts) == dict(enumerate(closure([shingles(" ".join(w)) for w in texts])))
+
+
+def test_awkward_texts(spark):
+    rows = [r for r in awkward() if r[0] is not None][:-3]
+    got = {r["id"]: r["component_id"] for r in near.groups(frame(spark, rows)).withColumnRenamed("least", "component_id").collect()}
+    want = closure([shingles(r[1]) for r in rows])
+    assert got == {r[0]: rows[want[k]][0] for k, r in enumerate(rows)}
+    assert near.groups(empty(spark)).collect() == []
