@@ -125,6 +125,25 @@ def row_order(df: DataFrame, by: str, *columns: str) -> DataFrame:
     )
 
 
+def export_order(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """(filename, n_rows, descents, first, last, sequence_sum) of each file of an ordered Parquet export, in the order of names.
+
+    descents: within the file, and one more if its first row is below the last row of the file before. sequence_sum:
+    the sum of place * XXH64 of the column, places from 1 in each file. No window is over more than a file's rows or
+    one row a file.
+    """
+    from pyspark.sql import Window
+
+    rows = spark.read.parquet(path).select(F.col(by).alias("x"), F.col("_metadata.file_name").alias("filename"), F.col("_metadata.row_index").alias("place"))
+    rows = rows.withColumn("before", F.lag("x").over(Window.partitionBy("filename").orderBy("place")))
+    ends = rows.groupBy("filename").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("x") < F.col("before")).alias("inside"), F.min_by("x", "place").alias("first"), F.max_by("x", "place").alias("last"),
+        F.sum((F.col("place") + 1).cast("decimal(18,0)") * F.xxhash64("x").cast("decimal(20,0)")).alias("sequence_sum"),
+    )
+    step = F.coalesce((F.col("first") < F.lag("last").over(Window.orderBy("filename"))).cast("long"), F.lit(0))
+    return ends.select("filename", "n_rows", (F.col("inside") + step).alias("descents"), "first", "last", "sequence_sum")
+
+
 def scanned(df: DataFrame) -> dict[str, int]:
     """Files and partitions that a scan of this plan reads, from its inputs: pruned folders aren't in it."""
     plan = df._jdf.queryExecution().executedPlan().toString()
