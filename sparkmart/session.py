@@ -25,8 +25,13 @@ def session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+#: Bytes of a batch that goes to a Python worker, so that long rows take no more memory than short ones.
+BATCH = 8 << 20
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Sends this package to the executors, once a context, so that functions on them can import it."""
+    """Sends this package to the executors, once a context, so that functions on them can import it, and bounds their batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     context = spark.sparkContext
     if getattr(context, "_sparkmart_sent", False):
         return spark
