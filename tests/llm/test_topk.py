@@ -15,7 +15,7 @@ def rows(seed=1, n=400, dim=6):
 
 
 def brute(data, every, k=10):
-    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in data if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in data if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q, w in good:
         if q % every == 0:
@@ -46,6 +46,34 @@ def test_empty_table(spark):
     assert topk.search(df, df).collect() == []
 
 
+def test_large_numbers_are_exact_or_an_error(spark):
+    data = [(0, [15625.0, 123456.0]), (1, [999_983.1, 1.0]), (2, [3e14, 7e5]), (3, [3e14, 7e5 + 0.5]), (4, [-3e14, 2.0]), (100, [1e5, -7.7])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(df, df.where("vec_id = 0")).collect()
+    small = [(i, [x / 4096 for x in v]) for i, v in data]
+    df = spark.createDataFrame(small, "vec_id long, embedding array<double>")
+    got = topk.search(df, df.where("vec_id % 100 = 0")).collect()
+    assert sorted(map(tuple, got)) == brute(small, 100)
+    assert max(abs(r["score"]) for r in got) > 1 << 55
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(*(spark.createDataFrame([(0, [1.0]), (1, [1e17])], "vec_id long, embedding array<double>"),) * 2).collect()
+
+
+def test_the_first_pass_spares_shards(monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    q, w = np.floor(rng.normal(0, 50, (3, 4))).astype(np.int64), np.floor(rng.normal(0, 50, (400, 4))).astype(np.int64)
+    row, _, score, done = topk.searched(q, np.arange(1000, 1003), w, np.arange(400), 5)
+    kth = np.array([score[row == r].min() for r in range(3)])
+    again = topk.searched(q, np.arange(1000, 1003), w, np.arange(400), 5, kth)
+    assert again[3] <= done and sorted(zip(*again[:3])) == sorted(zip(row, _, score))
+    weak = w // 4
+    assert topk.searched(q, np.arange(1000, 1003), weak, np.arange(400), 5, kth)[3] < topk.searched(q, np.arange(1000, 1003), weak, np.arange(400), 5)[3]
+    assert topk.searched(q, np.arange(1000, 1003), w, np.arange(400), 5, first=True)[3] == 3
+    assert topk.searched(q, np.arange(1000, 1003), w, np.arange(400), 5, kth + 10**6)[3] == 0
+
+
 def test_bounds_prune_blocks(monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 8)
     rng = np.random.default_rng(0)
