@@ -2,13 +2,15 @@
 
 A text is the average of the embeddings of all its subwords, byte 2-, 3- and 4-grams with white space as
 one sign and A-Z lower-cased, hashed into `BUCKETS`. Embeddings and the output layer are trained together by
-stochastic gradient descent in numpy on the driver. The training sample is bounded: about `PER_LANG`
-documents of each of at most `MAX_LANGS` labels, chosen by a hash of their id; of each document the driver gets its
-subword counts (at most BUCKETS numbers), made on the executors from the whole text. A fifth of the
-sample sets the softmax's temperature and the least score that isn't rejected.
+stochastic gradient descent in numpy on the driver. The training sample is bounded: of each label about
+`PER_LANG` documents, or as many fewer as keep all labels' together at about `SAMPLE`, chosen by a hash of id and text; of
+each document the driver gets the counts of its `GRAMS` most frequent subwords, made on the executors from the
+whole text (10 kB a document and 160 MB in all at most). A fifth of the sample sets the softmax's temperature
+and the least score that isn't rejected.
 
 As averaging and the output layer are linear, prediction adds up one row of embedding times output layer
-per subword. A null text, or one without a letter, is `und` with score 0, and rejected.
+per subword, in slices of `SLICE` bytes of text and `CELLS` numbers, so neither long texts nor many labels take more memory. A
+null text, or one without a letter, is `und` with score 0, and rejected.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE, U64, buffers, chunks
+from .common import LOWER, SPACE, Scratch, buffers, chunks
 
-BUCKETS, DIM, PER_LANG, MAX_LANGS, CALIBRATION = 1 << 14, 12, 400, 500, 0.2
+BUCKETS, DIM, PER_LANG, SAMPLE, GRAMS, CALIBRATION = 1 << 14, 12, 400, 16_000, 2048, 0.2
+SLICE, CELLS = 1 << 20, 1 << 21
 SHARES = 1 << 40
 #: Share of the calibration texts that may be rejected.
 REJECT = 0.002
@@ -50,6 +53,16 @@ def subwords(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.
     return h[inside[:m]], np.concatenate([[0], np.cumsum(size)])
 
 
+def sliced(buf: np.ndarray, offs: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The n-grams in slices of about SLICE bytes: the first text of each, the buckets, and where each text's begin."""
+    for a in range(0, len(buf), SLICE):
+        b = min(a + SLICE, len(buf))
+        lo, hi = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, b, "left"))
+        own = np.clip(offs[lo : hi + 1], a, None)
+        own[-1] = min(offs[hi], b + n - 1)  # an n-gram belongs to the slice that it begins in
+        yield lo, *subwords(buf[a : own[-1]], own - a, n)
+
+
 def has_letter(texts: pa.Array, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     if not len(buf):
         return np.zeros(len(texts), bool)
@@ -70,12 +83,14 @@ class Model:
 
     def scores(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         total, count = np.zeros((len(offs) - 1, len(self.langs))), np.zeros(len(offs) - 1)
+        step = max(1, CELLS // len(self.langs))
         for n in (2, 3, 4):
-            h, edge = subwords(buf, offs, n)
-            some = np.flatnonzero(np.diff(edge))
-            count += np.diff(edge)
-            if len(some):
-                total[some] += np.add.reduceat(self.table[h], edge[:-1][some], axis=0)
+            for text, h, edge in sliced(buf, offs, n):
+                count[text : text + len(edge) - 1] += np.diff(edge)
+                for a in range(0, len(h), step):
+                    cut = np.clip(edge, a, a + step) - a
+                    some = np.flatnonzero(np.diff(cut))
+                    total[text + some] += np.add.reduceat(self.table[h[a : a + step]], cut[:-1][some], axis=0)
         return softmax((total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature)
 
 
@@ -84,35 +99,40 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def frequent(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The GRAMS most frequent buckets of one text, in order, and how often each comes."""
+    c = np.zeros(BUCKETS, np.int64)
+    for n in (2, 3, 4):
+        for _, h, _ in sliced(buf, offs, n):
+            c += np.bincount(h, minlength=BUCKETS)
+    at = np.sort(np.argsort(-c, kind="stable")[:GRAMS])
+    at = at[c[at] > 0]
+    return at.astype(np.uint16), np.minimum(c[at], np.iinfo(np.int32).max).astype(np.int32)
+
+
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list:
-    """Rows (lang, buckets, counts) of about PER_LANG documents of each label: those whose id's hash is below a share of its range.
+    """Rows (lang, buckets, counts) of the documents whose hash of id and text is below their label's share of its range.
 
-    The share is PER_LANG over the label's documents, so no label's rows are gathered or sorted. Labels are the MAX_LANGS most
-    frequent; if rows that repeat an id go over the bound, as many as it allows are taken.
+    The share is the label's part of the sample over its documents, so no label's rows are gathered or sorted, and
+    labels with their counts stay a table. Equal rows count once in the sample.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.pmod(F.xxhash64(id_col), F.lit(SHARES)).alias("h"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not sizes:
-        return []
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(int(min(1, PER_LANG / r["n"]) * SHARES)))))
-
-    picked, most = rows.where(F.col("h") < share[F.col("lang")]), 2 * PER_LANG * len(sizes)
-    if picked.select("id").count() > most:
-        picked = picked.limit(most)
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(id_col).cast("long").alias("id"), F.pmod(F.xxhash64(id_col, text_col), F.lit(SHARES)).alias("h"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession)
+    sizes = scratch.write(rows.groupBy("lang").agg(F.count("*").alias("size")), "labels")
+    labels = sizes.count()
+    each = min(PER_LANG, SAMPLE / max(1, labels))
+    shares = scratch.write(sizes.select("lang", (F.least(F.lit(1.0), F.lit(each) / F.col("size")) * SHARES).cast("long").alias("share")), "shares")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 buf, offs = buffers(part.column("text"))
-                grams = [subwords(buf, offs, n) for n in (2, 3, 4)]
-                at, n = [], []
-                for k in range(part.num_rows):
-                    c = np.bincount(np.concatenate([h[e[k] : e[k + 1]] for h, e in grams]), minlength=1)
-                    b = np.flatnonzero(c)
-                    at.append(b.astype(np.int32))
-                    n.append(c[b].astype(np.int32))
-                yield pa.record_batch({"id": part.column("id").cast(pa.int64()), "lang": part.column("lang"), "at": pa.array([x.tobytes() for x in at], pa.binary()), "n": pa.array([x.tobytes() for x in n], pa.binary())})
+                got = [frequent(buf[offs[k] : offs[k + 1]], np.array([0, offs[k + 1] - offs[k]])) for k in range(part.num_rows)]
+                yield pa.record_batch([part.column("id"), part.column("lang"), *(pa.array([x[k].tobytes() for x in got], pa.binary()) for k in (0, 1))], names=["id", "lang", "at", "n"])
 
+    # the most that any label's share can be, so that rows are few before they meet their label
+    top = shares.agg(F.max("share")).first()[0] or 0
+    picked = rows.where(F.col("h") < top).join(shares, "lang").where("h < share").dropDuplicates(["lang", "id", "h"])
     got = picked.select("id", "lang", "text").mapInArrow(run, "id long, lang string, at binary, n binary").collect()
     return sorted(got, key=lambda r: (r["id"] is None, r["id"] or 0, r["lang"], r["at"], r["n"]))
 
@@ -124,7 +144,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return None
     langs = sorted({r["lang"] for r in rows})
     y = np.array([langs.index(r["lang"]) for r in rows])
-    x = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["n"], np.int32)) for r in rows]
+    x = [(np.frombuffer(r["at"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.int32)) for r in rows]
     x = [(a, (n / n.sum()).astype(np.float32)) for a, n in x]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))

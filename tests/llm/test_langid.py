@@ -51,3 +51,56 @@ def test_subwords_stay_within_texts():
     h, edge = langid.subwords(buf, offs, 3)
     assert edge.tolist() == [0, 2, 2, 2] and len(h) == 2
     assert h.tolist() == langid.subwords(np.frombuffer(b"abcd", np.uint8), np.array([0, 4]), 3)[0].tolist()
+
+
+def plain_scores(model, text):
+    """One text's probabilities by plain loops over its subwords."""
+    b = langid.NORMAL[np.frombuffer(text.encode(), np.uint8)].tolist()
+    total, count = [0.0] * len(model.langs), 0
+    for n in (2, 3, 4):
+        for k in range(len(b) - n + 1):
+            h = n
+            for x in b[k : k + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+            h = (h * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - langid.BUCKETS.bit_length() + 1)
+            total, count = [t + float(w) for t, w in zip(total, model.table[h])], count + 1
+    z = np.array([(t / max(count, 1) + c) / model.temperature for t, c in zip(total, model.bias)])
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_scores_equal_plain_loops(spark, data, monkeypatch):
+    docs = table(spark, data, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    texts = ["x", "", "né", "a few plain words", "ß" * 9, *[r["text"] for r in docs.where("length(text) < 400").limit(5).collect()]]
+    raw = [t.encode() for t in texts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    want = np.array([plain_scores(model, t) for t in texts])
+    for size, cells in ((langid.SLICE, langid.CELLS), (7, 20), (1, 1), (50, 1 << 20)):
+        monkeypatch.setattr(langid, "SLICE", size)
+        monkeypatch.setattr(langid, "CELLS", cells)
+        assert np.allclose(model.scores(buf, offs), want, atol=1e-5)
+
+
+def test_a_long_text_and_many_labels_take_bounded_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    model = langid.Model([f"l{k}" for k in range(500)], rng.normal(0, 1, (langid.BUCKETS, 500)).astype(np.float32), np.zeros(500), 1.0, 0.1)
+    buf = rng.integers(97, 123, 50 << 20).astype(np.uint8)
+    tracemalloc.start()
+    langid.Model.scores(model, buf[: 8 << 20], np.array([0, 8 << 20]))
+    small = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert small < 150 << 20
+    assert len(list(langid.sliced(buf, np.array([0, len(buf)]), 3))) == 50
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 60)
+    rows = [(k, f"text number {k} of many", f"l{k % 30}", "s", 0) for k in range(3000)] + [(1, "text number 1 of many", "l1", "s", 0)] * 50
+    got = langid.sample(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "lang")
+    assert 20 < len(got) < 130 and len({r["lang"] for r in got}) > 15
+    monkeypatch.setattr(langid, "GRAMS", 5)
+    at, n = langid.frequent(np.frombuffer(b"aaaaaaaaaa abc", np.uint8), np.array([0, 14]))
+    assert len(at) == len(n) == 5 and n.max() == 9 and (np.diff(at.astype(int)) > 0).all()
