@@ -1,19 +1,19 @@
 """Chat formatting from an event log.
 
-A conversation is a log of events (conv, seq, message, kind, role, text): `message` begins a message (each
-one its own, so that rows which repeat a turn are all kept), `delta` adds to it (streamed output), `edit`
-replaces its text, `regenerate` empties it for new deltas; these three go to the last message of their number.
-The log is dealt out by conversation and sorted by message, then sequence, so the events of a message follow
-each other; a message is folded and rendered as its last event has passed, and a task holds one message
-at a time, however long a conversation is.
+A conversation is a log of events (conv, message, twin, seq, kind, role, text): `message` begins a message or begins it
+anew, `delta` adds to it (streamed output), `edit` replaces its text, `regenerate` empties it for new deltas. Messages go
+by number; several of one number, told apart by `twin`, go by that. The log is dealt out by conversation and
+message, so a conversation that holds a large part of all events is folded and rendered by many tasks; a task holds one
+message at a time. Only `digests`, whose hashes are of all turns in order, deals turns out by conversation: its task
+goes through them one by one and holds one.
 
 The template marks a turn as START role NEWLINE text END NEWLINE. In roles and texts each backslash is
 doubled, and each control string gets a backslash after its first character; a newline in a role
 becomes backslash, control picture. Reading back undoes it, so a rendered log gives back every role and
 text. The loss mask is the span of an assistant's text in its turn.
 
-Null text or role: empty. Rows with a null conversation are one conversation. Equal sequence numbers are taken in
-order of role and text; null ones first.
+Null text or role: empty. Rows with a null conversation are one conversation. Null numbers come first; equal sequence
+numbers of one message are taken in order of role and text.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -62,27 +62,31 @@ def read_turn(turn: str) -> tuple[str, str]:
 
 
 def formatted(events: DataFrame) -> DataFrame:
-    """(conv, message, role, turn, loss_from, loss_to) for each message, in order within a partition that holds whole conversations.
+    """(conv, message, twin, role, turn, loss_from, loss_to) for each message.
 
-    events: conv long, message long, seq long, kind string, role string, text string.
+    events: conv long, message long, seq long, kind string, role string, text string, and twin long, 0 where it is lacking.
     """
-    ordered = events.repartition("conv").sortWithinPartitions("conv", "message", "seq", "role", "text")
+    if "twin" not in events.columns:
+        events = events.withColumn("twin", F.lit(0).cast("long"))
+    # a window needs a message's events together and in order; it deals nothing out anew that its input has so already
+    place = F.row_number().over(Window.partitionBy("conv", "message").orderBy("twin", "seq", "role", "text"))
+    ordered = events.withColumn("place", place).select("place", "conv", "message", "twin", "kind", "role", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, role, text = None, "", []
 
         def out(rows):
             cols = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["conv", "message", "role", "turn", "loss_from", "loss_to"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds)], names=["conv", "message", "twin", "role", "turn", "loss_from", "loss_to"])
 
         for batch in batches:
             rows = []
-            for conv, message, kind, r, t in zip(*(batch.column(c).to_pylist() for c in ("conv", "message", "kind", "role", "text"))):
-                if now != (conv, message) or kind == "message":
+            for place, conv, message, twin, kind, r, t in zip(*(c.to_pylist() for c in batch.columns)):
+                if place == 1 or now != (conv, message, twin):
                     if now:
                         rows.append((*now, role, *render(role, "".join(text))))
-                    now, role, text = (conv, message), r or "", []
+                    now, role, text = (conv, message, twin), r or "", []
                 if r:
                     role = r
                 if kind in ("message", "edit"):
@@ -98,20 +102,42 @@ def formatted(events: DataFrame) -> DataFrame:
         if now:
             yield out([(*now, role, *render(role, "".join(text)))])
 
-    return ordered.mapInArrow(run, "conv long, message long, role string, turn string, loss_from long, loss_to long")
+    return ordered.mapInArrow(run, "conv long, message long, twin long, role string, turn string, loss_from long, loss_to long")
 
 
 def events_of(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A log with one message per row; rows of equal turns are messages of their own, in order of role and text."""
-    at = F.col(turn).cast("long")
-    return rows.select(F.col(conv).cast("long").alias("conv"), at.alias("message"), at.alias("seq"), F.lit("message").alias("kind"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """The log of a table of turns; rows of equal turns are messages of their own, in order of role and text.
+
+    By a hash of its place a turn comes whole, streamed in up to eight deltas, streamed after a draft of it was thrown
+    away, or as a draft that an edit corrects.
+    """
+    said, at = F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(turn).cast("long")
+    rows = rows.select(F.col(conv).cast("long").alias("conv"), at.alias("message"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), said.alias("said"))
+    rows = rows.withColumn("twin", F.row_number().over(Window.partitionBy("conv", "message").orderBy("role", "said")).cast("long"))
+    said, size = F.col("said"), F.length("said")
+    none = F.lit(None).cast("string")
+    event = lambda seq, kind, who, what: F.struct(F.lit(seq).cast("long").alias("seq") if isinstance(seq, int) else seq.cast("long").alias("seq"), F.lit(kind).alias("kind"), who.alias("role"), what.alias("text"))
+    begin = lambda what: F.array(event(0, "message", F.col("role"), what))
+    piece = F.greatest(F.lit(16), F.ceil(size / 8).cast("int"))
+    deltas = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / piece).cast("int")), lambda i: event(i + 2, "delta", none, F.substring(said, i * piece + 1, piece)))
+    draft = F.concat(F.substring(said, F.lit(1), F.ceil(size / 2).cast("int")), F.lit(" ..."))
+    way = F.pmod(F.xxhash64("conv", "message", "twin"), F.lit(4))
+    events = (
+        F.when(way == 0, begin(said))
+        .when(way == 1, F.concat(begin(F.lit("")), deltas))
+        .when(way == 2, F.concat(begin(draft), F.array(event(1, "regenerate", none, none)), deltas))
+        .otherwise(F.concat(begin(draft), F.array(event(1, "edit", none, said))))
+    )
+    return rows.select("conv", "message", "twin", F.explode(events).alias("e")).select("conv", "message", "twin", "e.seq", "e.kind", "e.role", "e.text")
 
 
 def digests(turns: DataFrame) -> DataFrame:
     """Read back, for each conversation: n_turns, hashes of all turns and of all text under the loss mask, and lengths.
 
-    The rows come from `formatted`; hashes go on from turn to turn, nothing else is held.
+    The rows come from `formatted`; hashes go on from turn to turn, nothing else is held. A hash of all turns is one
+    chain, so a conversation is one task's, however long it is.
     """
+    ordered = turns.repartition("conv").sortWithinPartitions("conv", "message", "twin")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         class State:
@@ -148,4 +174,4 @@ def digests(turns: DataFrame) -> DataFrame:
         if now is not None:
             yield out([now.row()])
 
-    return turns.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

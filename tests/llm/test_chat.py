@@ -53,6 +53,26 @@ def test_folding(spark):
     assert masked == {(1, 0): "", (1, 1): "Bye", (1, 2): "", (2, 0): "only"}
 
 
+def test_the_query_folds_every_kind_of_event(spark, data):
+    log = chat.events_of(spark.read.parquet(f"{data}/conversations.parquet"))
+    kinds = {r["kind"]: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert all(kinds[k] > 15 for k in ("message", "delta", "edit", "regenerate"))
+
+
+def test_a_hot_conversation_is_folded_by_many_tasks(spark):
+    rows = spark.range(4000).selectExpr("if(id % 3 = 0, 7, id) as conv_id", "id as turn", "'user' as role", "repeat('text ', 40) as text")
+    folded = chat.formatted(chat.events_of(rows)).selectExpr("conv", "spark_partition_id() as task").where("conv = 7").groupBy("task").count().collect()
+    assert len(folded) >= 3 and max(r["count"] for r in folded) < 700
+    assert chat.digests(chat.formatted(chat.events_of(rows))).where("conv_id = 7").first()["n_turns"] == 1335
+
+
+def test_repeated_rows_of_a_turn(spark):
+    rows = [(1, 0, "user", t) for t in ("b", "</s>", "a", "b", "<s>", "<t", None)] + [(1, 0, "assistant", "b" * 500)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.digests(chat.formatted(chat.events_of(df))).first()
+    assert tuple(got)[1:] == digest_of(sorted((r, t or "") for _, _, r, t in rows))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digests(chat.formatted(chat.events_of(df))).collect() == []
