@@ -29,6 +29,17 @@ KEEP = 400_000
 NONE = np.int32(2**31 - 1)
 BLANK = r"[\t-\r \x85\xa0  -     　]"
 
+# Fixed values of the Unicode standard, for tables of Python that are older (unicodedata has version 15.1 or later).
+#: Letters and numbers that version 16.0 added.
+ADDED = {
+    "L": "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0",
+    "N": "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA",
+}
+#: Small letters of those capitals that versions 16.0 and 17.0 added.
+SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+SMALL |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+NEW_CAPITAL = regex.compile("[" + "".join(map(chr, SMALL)) + "]")
+
 
 class Tokenizer:
     def __init__(self, path: str):
@@ -40,7 +51,8 @@ class Tokenizer:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.split = regex.compile(split.replace(r"[^\s", "[^" + BLANK[1:-1]))
+        named = classes()
+        self.split = regex.compile(split.replace(r"[^\s", "[^" + BLANK[1:-1]).replace(r"\p{L}", named["L"]).replace(r"\p{N}", named["N"]))
         self.blank = regex.compile(BLANK + "+")
         self.numbers = [b"%d" % i for i in range(len(self.vocab) + len(self.added))]
         names = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
@@ -69,6 +81,8 @@ class Tokenizer:
         if not text.isascii():
             # lower case is made sign by sign, without regard to where a sigma stands
             text = self.blank.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ")
+            if NEW_CAPITAL.search(text):
+                text = text.translate(SMALL)
         return self.split.findall(text.lower())
 
     def parted(self, word: str) -> list[str | int]:
@@ -175,6 +189,17 @@ class Tokenizer:
         return b" ".join([self.names[i] for i in ids]).decode()
 
 
+def classes() -> dict[str, str]:
+    """Letters (L) and numbers (N) as ranges of a character class, by the Unicode version that the library splits with."""
+    kinds = "".join(c[0] for c in map(unicodedata.category, map(chr, range(0x110000))))
+    out = {}
+    for kind, more in ADDED.items():
+        own = [m.span() for m in regex.finditer(f"{kind}+", kinds)]
+        own += [(int(a, 16), int(b or a, 16) + 1) for x in more.split() for a, _, b in [x.partition("-")]]
+        out[kind] = "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in own)
+    return out
+
+
 def byte_signs() -> list[str]:
     """The printable sign of each byte: bytes that print stand for themselves, the others follow from U+0100 on."""
     prints = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

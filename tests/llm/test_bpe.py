@@ -32,6 +32,14 @@ def test_equals_the_library(library):
     assert [t for t, g in zip(texts, got) if g != expected(library, t)] == []
 
 
+def test_every_code_point_of_two_planes(library):
+    signs = [chr(c) for c in range(1, 0x20000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}b1{c}{c}2 '{c}x" for c in signs]
+    got = [g[0] for k in range(0, len(texts), 50_000) for g in bpe.loaded(PATH).encode([t.encode() for t in texts[k : k + 50_000]])]
+    want = [b" ".join(b"%d" % i for i in e.ids) for k in range(0, len(texts), 50_000) for e in library.encode_batch(texts[k : k + 50_000], add_special_tokens=False)]
+    assert [hex(ord(c)) for c, g, w in zip(signs, got, want) if g != w] == []
+
+
 def test_decode(library):
     t = bpe.loaded(PATH)
     ids = [3306, 1002, 49406, 127, 365]
