@@ -3,8 +3,9 @@
 Candidates come by the generalised pigeonhole: if two fingerprints differ in at most t bits, and
 thresholds t_i of disjoint partitions of the bits add up to t - m + 1 for m partitions (-1 leaves a
 partition out), then in some partition they differ in at most t_i bits. Correlated bits go into the
-same partition; the thresholds come from dynamic programming on candidate counts that are estimated
-from bit statistics of all fingerprints. Buckets of equal partition values are sorted runs; every pair
+same partition; two to five partitions are weighed, with thresholds by dynamic programming on candidate
+counts that are estimated from joint bit statistics of all fingerprints: a partition's bits are taken as a tree in which each
+bit depends on the one most correlated with it. Buckets of equal partition values are sorted runs; every pair
 in a bucket is compared, and a bucket gives a forest of its links, never pairs. A bucket with more
 than `BLOCK` members is dealt out as pairs of its blocks, so a task holds two blocks at most.
 
@@ -28,6 +29,8 @@ from .common import LOWER, U64, Scratch, buffers, chunks, joined, mix, words
 from .components import star_edges
 
 BLOCK = 1024
+#: Numbers of partitions that are weighed: keys of 32 bits and radii for many fingerprints, of 12 to 16 for few.
+PARTS = range(2, 6)
 
 
 def sign_bits(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -124,13 +127,38 @@ def grouped_bits(n: int, joint: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def spread(n: int, joint: np.ndarray, group: list[int]) -> np.ndarray:
-    """Of two fingerprints, how likely they differ in 0, 1, ... bits of the group, each bit on its own."""
-    p = np.diag(joint)[group] / max(n, 1)
-    out = np.ones(1)
-    for x in 2 * p * (1 - p):
-        out = np.convolve(out, [1 - x, x])
-    return out
+def spread(n: int, joint: np.ndarray, group: list[int], most: int = 3) -> np.ndarray:
+    """Of two fingerprints, how likely they differ in 0, 1, ... `most` bits of the group.
+
+    The bits are taken as a tree of largest correlations: each bit depends on its parent as their joint counts say. A pair
+    of fingerprints is such a tree too, of pairs of bits, so its differing bits are added up from the leaves.
+    """
+    n = max(n, 1)
+    p = np.diag(joint) / n
+    cov = np.abs(joint / n - np.outer(p, p)) / np.sqrt(np.outer(p * (1 - p), p * (1 - p)) + 1e-12)
+    parent, order, near = {group[0]: None}, [group[0]], {b: group[0] for b in group[1:]}
+    while near:
+        b = max(near, key=lambda x: cov[x, near[x]])
+        parent[b] = near.pop(b)
+        order.append(b)
+        for x in near:
+            if cov[x, b] > cov[x, near[x]]:
+                near[x] = b
+    differ = np.array([0, 1, 1, 0])  # the four values of a pair of bits: 00, 01, 10, 11
+    below = {b: np.eye(1, most + 1).repeat(4, 0) for b in group}  # by the pair's value, how likely 0, 1, ... bits below differ
+
+    def shifted(b):
+        return np.stack([np.concatenate([np.zeros(d), below[b][s, : most + 1 - d]]) for s, d in enumerate(differ)])
+
+    for b in reversed(order[1:]):
+        a = parent[b]
+        both = joint[a, b] / n
+        table = np.maximum(np.array([[1 - p[a] - p[b] + both, p[b] - both], [p[a] - both, both]]), 0)
+        table = table / np.maximum(table.sum(1, keepdims=True), 1e-300)
+        got = np.kron(table, table) @ shifted(b)
+        below[a] = np.stack([np.convolve(x, y)[: most + 1] for x, y in zip(below[a], got)])
+    root = np.array([1 - p[group[0]], p[group[0]]])
+    return np.kron(root, root) @ shifted(group[0])
 
 
 def plan(n: int, joint: np.ndarray, most: int, parts: range, pair_cost: float = 0.01) -> tuple[list[list[int]], list[int]]:
@@ -140,7 +168,7 @@ def plan(n: int, joint: np.ndarray, most: int, parts: range, pair_cost: float =
         groups = grouped_bits(n, joint, m)
         costs = []
         for g in groups:
-            c = np.cumsum(spread(n, joint, g))
+            c = np.cumsum(spread(n, joint, g, min(3, len(g))))
             probes = np.cumsum([comb(len(g), t) for t in range(min(3, len(g)) + 1)])
             costs.append([0.0] + [probes[t] * n + (t > 0) * n + pair_cost * c[t] * n * n * (1 + t) / 2 for t in range(len(probes))])
         # least cost of the first i partitions with thresholds that use up s of most + 1
@@ -280,7 +308,7 @@ def groups_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     scratch = Scratch(docs.sparkSession)
     fps = scratch.write(fingerprints(docs, id_col, text_col), "fps")
-    found = components(fps, 3, 8, range(4, 6), scratch)
+    found = components(fps, 3, 8, PARTS, scratch)
     return fps.join(found, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 import xxhash
 
 from sparkmart.llm import simhash
@@ -86,6 +87,50 @@ def test_plans_keep_the_pigeonhole():
         assert sum(t + 1 for t in thresholds) == most + 1
 
 
+def correlated(rng, n):
+    """Fingerprints whose bits come in runs that mostly agree, each with a rate of its own."""
+    base = rng.random((n, 16)) < rng.random(16)
+    bits = np.repeat(base, 4, axis=1) ^ (rng.random((n, 64)) < 0.05)
+    return bits.astype(np.int64)
+
+
+def test_estimates_are_near_the_counts():
+    rng = np.random.default_rng(2)
+    bits = correlated(rng, 3000)
+    joint = bits.T @ bits
+    for m in simhash.PARTS:
+        for group in simhash.grouped_bits(len(bits), joint, m):
+            part = bits[:, group].astype(np.float32)
+            apart = np.rint(part.sum(1)[:, None] + part.sum(1)[None, :] - 2 * part @ part.T).astype(int)
+            count = np.bincount(apart[np.triu_indices(len(bits), 1)], minlength=4)[:4].cumsum()
+            guess = simhash.spread(len(bits), joint, group).cumsum() * len(bits) * (len(bits) - 1) / 2
+            p = np.diag(joint)[group] / len(bits)
+            alone = np.prod(1 - 2 * p * (1 - p)) * len(bits) ** 2 / 2
+            print(m, len(group), "pairs that differ in 0, 1, 2, 3 bits at most:", count, "estimated:", guess.round(), "bit by bit:", round(alone))
+            assert (guess > count / 3 - 20).all() and (guess < count * 3 + 20).all()
+            assert count[0] > 5 * alone  # what takes bits as independent is far too low
+
+
+def test_many_fingerprints_get_wider_keys():
+    rng = np.random.default_rng(1)
+    bits = (rng.random((2000, 64)) < 0.5).astype(np.int64)
+    joint = bits.T @ bits
+    sizes = []
+    for n in (10**5, 10**7, 10**9, 10**11):
+        groups, thresholds = simhash.plan(n, joint * (n // 2000), 3, simhash.PARTS)
+        assert sum(t + 1 for t in thresholds) == 4
+        sizes.append(max(len(g) for g, t in zip(groups, thresholds) if t >= 0))
+    assert sizes == sorted(sizes) and sizes[0] <= 16 and sizes[-1] == 32
+
+
+@pytest.mark.parametrize("m", simhash.PARTS)
+def test_every_number_of_partitions_gives_the_same(spark, m):
+    values = random_fingerprints(random.Random(m), 150)
+    df = spark.createDataFrame([(k, bytearray(v.to_bytes(8, "big"))) for k, v in enumerate(values)], "id long, fp binary")
+    got = simhash.components(df, 3, 8, m, Scratch(spark)).collect()
+    assert {r["node"]: r["component_id"] for r in got} == dict(enumerate(closure(values, list(range(len(values))), 3)))
+
+
 def test_thresholds_above_zero_miss_nothing(spark):
     values = random_fingerprints(random.Random(5), 200)
     df = spark.createDataFrame([(k, bytearray(v.to_bytes(8, "big"))) for k, v in enumerate(values)], "id long, fp binary")
