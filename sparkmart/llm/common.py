@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import re
 import tempfile
 import uuid
 
@@ -28,13 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 class Scratch:
     """Tables in the shared folder that spark.checkpoint.dir names; they cut lineage and outlive executors.
 
-    A folder of this process's own is set only where that setting is empty, as in tests. What is left
-    goes when the driver ends; `drop` takes tables away before.
+    A folder of this process's own is set only where that setting is empty and the master is local, as in tests;
+    executors elsewhere would not see it, so then this is refused. What is left goes when the driver ends; `drop` takes
+    tables away before.
     """
 
     def __init__(self, spark: SparkSession):
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
             base = tempfile.mkdtemp(prefix="sparkmart-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.spark, self.root = spark, f"{base.rstrip('/')}/sparkmart-{uuid.uuid4().hex}"
@@ -56,6 +61,12 @@ class Scratch:
             pass
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets shuffle files of what is done go at once; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of the texts, end to end, and where each begins (one offset more than texts); null is empty."""
     texts = pc.fill_null(texts, "")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import bpe, chat, langid, packing, quality, simhash, substring, token_counts, topk, warc
-from .common import table
+from .common import Scratch, swept, table
 
 #: Conversation -7, whose turns look like a template's own signs.
 PLANTED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -52,7 +52,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.counted(table(ship(spark), sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """The whole table, over a cache that an earlier run over a fifth of it has filled."""
+    docs, path = table(ship(spark), sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    cache = Scratch(spark).path("token_cache")
+    token_counts.counted(docs.where("doc_id % 5 = 0"), path, cache)
+    swept(spark)
+    return token_counts.counted(docs, path, cache)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Token counts through a digest cache.
 
-A text's key is the SHA-256 of its content (null: empty; nothing else is normalised, as it would change
-counts), with a digest of the tokenizer's file. Counts that the cache holds are joined by that key; the
+A text's key is the SHA-256 of its normalised content, with a digest of the tokenizer's file. Normalising must not
+change counts: null is empty, and for a sentencepiece file its space sign is a space, which that library can't tell apart. Counts that the cache holds are joined by that key; the
 distinct texts that it lacks are encoded once each and appended. Equal texts are merged before they are
 dealt out, so a text that a third of all rows hold is sent once a task.
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, chunks
 
 KEEP = 500_000
+#: What sentencepiece writes for a space.
+SIGN = "▁"
 WORD = re.compile(" +[^ ]*")
 CACHE = "digest string, tokenizer string, n_tokens long"
 
@@ -42,8 +44,7 @@ class Counts:
             model = sentencepiece.SentencePieceProcessor(model_file=path)
             self.lengths = lambda texts: list(map(len, model.encode(texts, num_threads=1)))
             pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-            sign = "▁"
-            self.by_word = not any(sign in p.lstrip(sign) for p in pieces) and model.encode("a  b") != model.encode("a b") and model.encode("\t") != []
+            self.by_word = not any(SIGN in p.lstrip(SIGN) for p in pieces) and model.encode("a  b") != model.encode("a b") and model.encode("\t") != []
         else:
             from tokenizers import Tokenizer
 
@@ -58,7 +59,7 @@ class Counts:
         if not self.by_word:
             return self.lengths(texts)
         # the library can't tell its space sign from a space
-        listed = [Counter(WORD.findall(" " + t.replace("▁", " "))) if t else {} for t in texts]
+        listed = [Counter(WORD.findall(" " + t.replace(SIGN, " "))) if t else {} for t in texts]
         if len(self.known) > KEEP:
             self.known.clear()
         known = self.known
@@ -94,7 +95,8 @@ def counted(docs: DataFrame, tokenizer: str, cache_path: str | None = None, id_c
     scratch = Scratch(spark)
     cache_path = cache_path or scratch.path("cache")
     version = tokenizer_digest(tokenizer)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
+    rows = rows.withColumn("text", F.translate("whole", SIGN, " ") if tokenizer.endswith(".model") else F.col("whole")).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     stored = cache(spark, cache_path).where(F.col("tokenizer") == version).select("digest", "n_tokens").dropDuplicates(["digest"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,5 +125,5 @@ def counted(docs: DataFrame, tokenizer: str, cache_path: str | None = None, id_c
     now = cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     # as a table, so that the join deals both sides out by itself and can split a digest that many rows have
     now = scratch.write(now, "counts")
-    slim = rows.select(F.col(id_col), "digest", F.octet_length("text").cast("long").alias("n_bytes"))
+    slim = rows.select(F.col(id_col), "digest", F.octet_length("whole").cast("long").alias("n_bytes"))
     return slim.join(now, "digest", "left").select(F.col(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

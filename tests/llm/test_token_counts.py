@@ -46,6 +46,22 @@ def test_a_poisoned_cache_shows_that_it_is_read(spark, tmp_path):
     assert token_counts.counted(docs, PATH, path).first()["n_tokens"] == 99
 
 
+def test_texts_that_the_library_cannot_tell_apart_are_one(spark, tmp_path):
+    path = f"{tmp_path}/cache"
+    docs = frame(spark, [(1, "a▁b c", "en", "s", 0), (2, "a b▁c", "en", "s", 0)])
+    assert sorted((r["n_bytes"], r["n_tokens"]) for r in token_counts.counted(docs, PATH, path).collect()) == [(7, 3), (7, 3)]
+    assert token_counts.cache(spark, path).count() == 1
+
+
+def test_the_query_finds_part_of_its_counts_stored(spark, data, monkeypatch):
+    asked = []
+    monkeypatch.setattr(token_counts, "cache", lambda s, p, f=token_counts.cache: asked.append(f(s, p).count()) or f(s, p))
+    from sparkmart.llm import queries
+
+    assert queries.op9_token_counts(spark, data).count() == spark.read.parquet(f"{data}/documents.parquet").count()
+    assert 0 == asked[0] < asked[2] < asked[3]  # nothing; a fifth; all
+
+
 def test_other_kind_of_file(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
