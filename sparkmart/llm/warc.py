@@ -1,8 +1,8 @@
 """WARC archives with an index that is written first, and reads that go by the index.
 
 Of pages with equal payloads of `MIN_REVISIT` bytes or more the one with the largest id is a response, the others are
-revisits of it. Payload digests with their largest id are found from digests alone; a page meets its
-digest's entry in an equi-join (copies are summed up before they are dealt out; large partitions are split).
+revisits of it. Payload digests with their largest id are found from digests alone and written; a page meets its
+digest's entry in a join of two read tables, which adaptive execution can split where many pages share a digest.
 A task writes its records, each a gzip member, into files of its own in the shared folder, begins a new
 file at `FILE` bytes, and gives an index row per record: file, offset, length, URL and digest. A task that runs
 again writes files of new names, and only the rows of the attempt that counts are in the index.
@@ -11,7 +11,8 @@ Reading takes index rows by file, sorted by offset, joins ranges that lie at mos
 of `READ` bytes at most (a longer record is a read of its own), and parses the records in it.
 
 Null payload: empty. Null ids are never the response of others; copies of which none has an id are all
-responses. Rows that repeat the response's id are responses too.
+responses. Rows that repeat the response's id are responses too. A record's id is of its file and offset, so rows that
+repeat an id, or have none, are records of their own; a revisit names its response by URL, date and page.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ INDEX = "page_id long, url string, digest string, record_type string, refers_to
 DATE = "2024-01-01T00:00:00Z"
 
 
-def urn(page_id: int | None, n: int = 0) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{n}')}>"
+def urn(file: str, offset: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}:{offset}')}>"
 
 
 def clean(url: str | None) -> str:
@@ -43,21 +44,23 @@ def clean(url: str | None) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 32 or ord(c) == 127 else c for c in url or "")
 
 
-def record(page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
+def record(name: str, page_id: int | None, url: str | None, digest: str, payload: bytes, refers_to: int | None, refers_url: str | None) -> bytes:
+    """A gzip member; name: the record's own id. refers_to: the page that this one is a revisit of, if it is."""
+    revisit = refers_to is not None
     sha = base64.b32encode(bytes.fromhex(digest)).decode()
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: {urn(page_id)}",
+        f"WARC-Record-ID: {name}",
         f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {clean(url)}",
         f"WARC-Payload-Digest: sha1:{sha}",
         f"X-Page-ID: {'' if page_id is None else page_id}",
     ]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {urn(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Target-URI: {clean(refers_url)}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 5, mtime=0)
 
@@ -84,7 +87,8 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("payload")).withColumn("digest", F.sha1("payload"))
     large = rows.where(F.octet_length("payload") >= MIN_REVISIT)
-    leads = large.groupBy("digest").agg(F.max("page_id").alias("lead"), F.count("*").alias("n")).where("n > 1 and lead is not null").select("digest", "lead")
+    leads = large.groupBy("digest").agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("lead"), F.count("*").alias("n")).where("n > 1 and lead is not null")
+    leads = Scratch(pages.sparkSession).write(leads.select("digest", F.col("lead.page_id").alias("lead"), F.col("lead.url").alias("lead_url")), "leads")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = files(folder)
@@ -102,7 +106,7 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
                             out = system.open_output_stream(f"{base}/{name}", compression=None)
                         revisit = x["lead"] is not None and x["lead"] != x["page_id"]
                         refers = x["lead"] if revisit else None
-                        data = record(x["page_id"], x["url"], x["digest"], x["payload"], refers, revisit)
+                        data = record(urn(name, at), x["page_id"], x["url"], x["digest"], x["payload"], refers, x["lead_url"])
                         out.write(data)
                         index.append((x["page_id"], x["url"], x["digest"], "revisit" if revisit else "response", refers, name, at, len(data)))
                         at += len(data)
@@ -112,7 +116,7 @@ def archived(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: st
             if out is not None:
                 out.close()
 
-    return rows.join(leads, "digest", "left").select("page_id", "url", "payload", "digest", "lead").mapInArrow(write, INDEX)
+    return rows.join(leads, "digest", "left").select("page_id", "url", "payload", "digest", "lead", "lead_url").mapInArrow(write, INDEX)
 
 
 def ranges(offsets: list[int], lengths: list[int]) -> Iterator[tuple[int, int]]:

@@ -43,11 +43,16 @@ def test_index_leads_to_each_record(spark):
     folder = scratch.path("warc")
     index = scratch.write(warc.archived(frame(spark), folder), "index")
     system, base = warc.files(folder)
+    names = set()
     for r in index.collect():
         with system.open_input_file(f"{base}/{r['file']}") as f:
             fields, http, body = warc.parse(f.read_at(r["length"], r["offset"]))
         assert fields["WARC-Type"] == r["record_type"] and "\r" not in fields["WARC-Target-URI"]
+        names.add(fields["WARC-Record-ID"])
+        if r["record_type"] == "revisit":
+            assert fields["WARC-Refers-To-Target-URI"] in {warc.clean(u) for i, u, _ in ROWS if i == r["refers_to"]}
         assert (hashlib.sha1(body).hexdigest() == r["digest"]) if r["record_type"] == "response" else body == b""
+    assert len(names) == len(ROWS)  # repeated and null page ids too
     some = warc.read(index.where("page_id in (4, 9)"), folder, payload=True).collect()
     assert {r["page_id"]: bytes(r["payload"]) for r in some} == {4: b"small", 9: b"y" * 3_000_000}
     whole = {r["file"] for r in index.collect()}
@@ -55,6 +60,23 @@ def test_index_leads_to_each_record(spark):
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\n")  # members of a file are one stream of records
 
 
+def test_a_hot_payload_is_split(spark):
+    """A third of the pages share a payload; with the entries written first the join deals both sides out by itself."""
+    rows = spark.range(3000).selectExpr("id as page_id", "'u' as url", "if(id % 3 = 0, repeat('hot ', 2000), concat(repeat(cast(xxhash64(id) as string), 400), id)) as html")
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for k, v in zip(old, ("-1", "-1", "1k", "1.2", "16k")):
+        spark.conf.set(k, v)
+    try:
+        index = warc.archived(rows.repartition(6), Scratch(spark).path("warc"))
+        assert index.where("record_type = 'revisit'").count() == 999
+        plan = index._jdf.queryExecution().executedPlan()
+        index.collect()
+        assert "skew=true" in plan.toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_ranges():
     assert list(warc.ranges([], [])) == []
     assert list(warc.ranges([0, 10, 20], [10, 10, 10])) == [(0, 3)]
