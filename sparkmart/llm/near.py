@@ -4,7 +4,9 @@ Candidates come by prefixes: with the shingles of all texts in one order, two se
 a similarity of 0.8 or more share one of their first n // 5 + 1 and m // 5 + 1. Any order is right. This one has
 shingles that are common in a sample of the texts last, then goes by hash, so that boilerplate and shared
 passages are seldom in a prefix. In a bucket of equal shingles a pair is passed over only if its sizes, or the
-shingle's places in both sets, rule 0.8 out. Every other pair is decided by the two whole sets.
+shingle's places in both sets, rule 0.8 out. Every set has a sketch of `SKETCH` bits, each the parity of how many
+shingles fall on it; two sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches
+differ in more than 0.8 leaves room for is passed over too. Every other pair is decided by the two whole sets.
 
 Equal sets are one vertex (so copies cost nothing). Candidates are decided in rounds, each of pairs that stand
 further apart in their buckets, with texts brought to pairs; a pair whose ends are joined already is left out: it can't change a group. A
@@ -15,21 +17,21 @@ Sets are of 64-bit hashes, and a vertex is a 64-bit hash of its set.
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, Scratch, buffers, chunks, mix, span_hashes, windows, words
+from .common import LOWER, U64, Scratch, buffers, chunks, mix, span_hashes, swept, windows, words
 from .components import star_edges
 
-WIDTH, BLOCK = 5, 1024
+WIDTH, BLOCK, SKETCH = 5, 1024, 512
 #: The order of shingles only: one in so many texts is counted, and so many of the most common shingles are told to every task.
 SAMPLE, COMMON = 16, 1 << 18
 #: Distances of pairs in a bucket, by rounds.
-ROUNDS = ((1, 3), (3, 33), (33, 2 * BLOCK * BLOCK))
+ROUNDS = ((1, 9), (9, 2 * BLOCK * BLOCK))
+#: Bits of the filter that texts pass before they are dealt out to pairs, in words of 64: 2^19 rows at most.
+FILTER = 1 << 25
 
 
 def shingles(buf: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +70,14 @@ def vertices(s: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(total + n.astype(U64)).view(np.int64)
 
 
+def sketches(s: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """SKETCH bits of each set, as signed 64-bit lanes: the parity of the shingles that fall on each bit."""
+    n = np.diff(edge)
+    at = np.repeat(np.arange(len(n)), n) * SKETCH + (mix(s) >> U64(65 - SKETCH.bit_length())).astype(np.int64)
+    odd = (np.bincount(at, minlength=len(n) * SKETCH) & 1).astype(np.uint8).reshape(len(n), SKETCH)
+    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+
+
 def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most common shingles of a sample of the distinct texts, sorted, and how many of its texts have each."""
 
@@ -84,7 +94,7 @@ def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, h, key, vertex, n, prefix): the size of each text's set and its first shingles."""
+    """(id, h, key, vertex, n, prefix, sketch): the size of each text's set, its first shingles and its sketch."""
     often, count = known
 
     def run(batches):
@@ -92,7 +102,7 @@ def signatures(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFr
             for part in chunks(batch, "text"):
                 s, edge = shingles(*buffers(part.column("text")))
                 n = np.diff(edge)
-                vertex = vertices(s, edge)
+                vertex, bits = vertices(s, edge), sketches(s, edge)
                 weight = np.zeros(len(s), np.int64)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
@@ -101,9 +111,9 @@ def signatures(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFr
                 size = np.where(n > 0, n // 5 + 1, 0)
                 s = s[np.arange(len(s)) - np.repeat(edge[:-1], n) < np.repeat(size, n)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s.view(np.int64)))
-                yield pa.record_batch({"id": part.column("id"), "h": part.column("h"), "key": part.column("key"), "vertex": pa.array(vertex), "n": pa.array(n, pa.int32()), "prefix": prefix})
+                yield pa.record_batch({"id": part.column("id"), "h": part.column("h"), "key": part.column("key"), "vertex": pa.array(vertex), "n": pa.array(n, pa.int32()), "prefix": prefix, "sketch": pa.array(list(bits), pa.list_(pa.int64()))})
 
-    return texts.mapInArrow(run, "id long, h long, key long, vertex long, n int, prefix array<long>")
+    return texts.mapInArrow(run, "id long, h long, key long, vertex long, n int, prefix array<long>, sketch array<long>")
 
 
 def candidates(rows: DataFrame, low: int, high: int) -> DataFrame:
@@ -172,16 +182,32 @@ def alike(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def possible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, u, v): both ends' texts of the pairs whose sketches leave room for 0.8."""
+    ends = [keys.select(F.col("vertex").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in keys.columns[1:])) for name in ("u", "v")]
+    apart = sum((F.bit_count(F.col(f"u_s{i}").bitwiseXOR(F.col(f"v_s{i}"))) for i in range(SKETCH // 64)), F.lit(0))
+    both = pairs.join(ends[0], "u").join(ends[1], "v").where(9 * apart <= F.col("u_n") + F.col("v_n"))
+    return both.select("u", "v", F.explode(F.array("u_key", "v_key")).alias("key")).select("key", "u", "v")
+
+
+def wanted_only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts whose key may be wanted: few others where wanted keys are few, and never one less. The filter's size is bounded by FILTER."""
+    place = F.pmod(F.col("key"), F.lit(FILTER))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+    words = wanted.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return texts.join(F.broadcast(words), F.floor(place / 64) == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
     """(u, v): v is the least vertex of u's group, for every u that isn't the least itself. found: `signatures`."""
-    nodes = scratch.write(found.groupBy("vertex").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "nodes")
+    nodes = scratch.write(found.groupBy("vertex").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
     scratch.drop("signatures")
     swept(texts.sparkSession)
     entries = nodes.select("vertex", "n", F.posexplode("prefix").alias("pos", "token"))
     counts = scratch.write(entries.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), "counts")
     swept(texts.sparkSession)
     shared = scratch.write(entries.join(counts, "token"), "shared")
-    keys = scratch.write(nodes.select("vertex", "key"), "keys")
+    keys = scratch.write(nodes.select("vertex", "key", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64))), "keys")
     scratch.drop("nodes")
     scratch.drop("counts")
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
@@ -198,9 +224,8 @@ def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
         rows = left.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("part", F.explode(pair))
         rows = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "vertex")
         pairs = scratch.write(candidates(rows, low, high), f"pairs{k}")
-        ends = pairs.select(F.col("u").alias("vertex"), "u", "v").unionByName(pairs.select(F.col("v").alias("vertex"), "u", "v"))
-        wanted = scratch.write(ends.join(keys, "vertex").select("key", "u", "v"), f"wanted{k}")
-        rows = texts.join(wanted, "key").select("u", "v", "text").repartition("u", "v").sortWithinPartitions("u", "v")
+        wanted = scratch.write(possible(pairs, keys), f"wanted{k}")
+        rows = wanted_only(texts, wanted).join(wanted, "key").select("u", "v", "text").repartition("u", "v").sortWithinPartitions("u", "v")
         good = scratch.write(alike(rows), f"good{k}")
         for old in ("label", "mixed", "pairs", "wanted"):
             scratch.drop(f"{old}{k}")
@@ -208,12 +233,6 @@ def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
     return stars
 
 
-def swept(spark: SparkSession) -> None:
-    """Lets shuffle files of what is done go at once; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, component, least): for each row its id, the XXH64 of its text, its group, and the group's least id, null if it has none.
 
