@@ -14,7 +14,9 @@ from .plans import MODELS, Graph
 from .plans.intermediate import gap_sessions
 from .plans.sql import MODELS as MODEL_SQL
 from .plans.sql import quotient, with_models
-from .sources import files, from_driver_tables
+from .sources import files, from_driver_tables, measure
+from .sources.landed import landed
+from .sources.shared import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,7 +24,8 @@ SQL: dict[str, str] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(from_driver_tables(spark, sf_dir), spark)
+    """The models over the shop's source tables, which are landed as Parquet before a model reads them for the first time."""
+    return Graph(landed(spark, sf_dir), spark)
 
 
 def query(sql: str | None = None):
@@ -55,7 +58,7 @@ def mart_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH e AS (SELECT user_id, created_at, event_id, event_type, lag(created_at) OVER w AS before FROM stg_events WINDOW w AS (PARTITION BY user_id ORDER BY created_at, event_id)),
+    WITH e AS (SELECT user_id, created_at, event_id, event_type, lag(created_at) OVER w AS before FROM stg_events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY created_at, event_id)),
     n AS (SELECT *, sum(CASE WHEN before IS NULL OR date_diff('microsecond', before, created_at) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session_number FROM e)
     SELECT user_id, session_number, min(created_at) AS first_event_at, max(created_at) AS last_event_at, count(*)::BIGINT AS event_count, bool_or(event_type = 'purchase') AS has_purchase FROM n GROUP BY ALL""")
 def int_events_sessions_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +234,7 @@ def _union(checks: dict[str, str]) -> str:
 
 @query(_union(_SOURCE_SQL))
 def dq_coherence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dt.counted(*dt.source_checks(from_driver_tables(spark, sf_dir).table))
+    return dt.counted(*dt.source_checks(landed(spark, sf_dir).table))
 
 
 _STAGING_SQL = {
@@ -367,13 +370,7 @@ def v_division_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 # files
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one that the session names, or of the process's own where it names none."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkmart-")
-    return f"{base.rstrip('/')}/sparkmart-{uuid.uuid4().hex}/{name}"
+_folder = new_folder
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_regionkey END AS n_regionkey, (n_nationkey * 1.5)::DECIMAL(38,9) AS amount FROM nation")
@@ -402,18 +399,14 @@ def io_partition_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min("inventory_item_id").alias("first_id"), F.max("inventory_item_id").alias("last_id"), F.sum("unit_cost").cast(fn.MONEY).alias("cost"))
 
 
-@query("SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS descents, min(o_orderkey) AS first, max(o_orderkey) AS last, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey)) AS sequence_md5 FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1000)")
+@query("SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS descents, min(o_orderkey) AS first, max(o_orderkey) AS last, sum(n::HUGEINT * o_orderkey)::VARCHAR AS sequence_sum FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)")
 def io_row_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An ordered export of all orders in files by range, whose order and count are checked whole; the answer is of its first thousand rows, as in the SQL."""
+    """An ordered export of all orders in files by range: descents within and between files, and a sum of place times key over the whole order."""
     path, orders = _folder(spark, "ordered"), read(spark, sf_dir, "orders").select("o_orderkey")
-    n = orders.count()
-    files.export(orders, path, shards=2 + n // 1_000_000, order=["o_orderkey"])
-    found = files.export_order(spark, path, "o_orderkey").agg(F.sum("n_rows"), F.sum("descents")).first()
-    if tuple(found) != ((n, 0) if n else (None, None)):
-        raise RuntimeError(f"the ordered export of {n} rows has {found[0]} rows and {found[1]} descents")
-    place = F.struct(F.col("_metadata.file_name"), F.col("_metadata.row_index"))
-    first = spark.read.parquet(path).select("o_orderkey", place.alias("position")).orderBy("position").limit(1000)
-    return files.row_order(first, "o_orderkey")
+    rows = measure.numbered(orders, path, "o_orderkey", shards=2 + orders.count() // 1_000_000)
+    by_file = files.export_order(spark, path, "o_orderkey").agg(F.sum("n_rows").alias("n_rows"), F.sum("descents").alias("descents"), F.min("first").alias("first"), F.max("last").alias("last"))
+    placed = (F.col("row_id").cast("decimal(19,0)") * F.col("o_orderkey").cast("decimal(18,0)")).cast("decimal(38,0)")
+    return by_file.crossJoin(F.broadcast(rows.agg(F.sum(placed).cast("string").alias("sequence_sum"))))  # relations of one row
 
 
 @query("SELECT o_orderpriority, n FROM (SELECT o_orderpriority, count(*)::BIGINT AS n FROM orders GROUP BY 1) WHERE n IS DISTINCT FROM 0 AND o_orderpriority LIKE '%-%'")

@@ -65,14 +65,17 @@ def digest(text: Column) -> Column:
 
 
 def metrics(df: DataFrame) -> DataFrame:
-    """(column_name, kind, n_rows, n_nulls, digest, n_distinct) of each column, in one scan."""
-    texts = df.select(*(canonical(F.col(f"`{f.name}`"), f.dataType).alias(f"c{i}") for i, f in enumerate(df.schema)))
-    aggs = [F.count("*").alias("n")]
-    for i in range(len(df.columns)):
-        c = F.col(f"c{i}")
-        aggs += [F.count_if(c.isNull()).alias(f"n{i}"), F.coalesce(digest(c), F.lit(0)).cast("long").alias(f"d{i}"), F.countDistinct(c).alias(f"u{i}")]
-    rows = [F.struct(F.lit(f.name).alias("column_name"), F.lit(kind(f.dataType)).alias("kind"), F.col("n").alias("n_rows"), F.col(f"n{i}").alias("n_nulls"), F.col(f"d{i}").alias("digest"), F.col(f"u{i}").alias("n_distinct")) for i, f in enumerate(df.schema)]
-    return texts.agg(*aggs).select(F.inline(F.array(*rows)))
+    """(column_name, kind, n_rows, n_nulls, digest, n_distinct) of each column, in one scan.
+
+    Equal texts of a column are counted before they are dealt out and hashed, so distinct values cost what there are of them.
+    """
+    columns = df.sparkSession.createDataFrame([(i, f.name, kind(f.dataType)) for i, f in enumerate(df.schema)], "i int, column_name string, kind string")
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), canonical(F.col(f"`{f.name}`"), f.dataType).alias("t")) for i, f in enumerate(df.schema)))
+    texts = df.select(F.explode(cells).alias("x")).groupBy(F.col("x.i").alias("c"), F.col("x.t").alias("t")).agg(F.count("*").alias("n"))
+    first = F.conv(F.substring(F.md5("t"), 1, 8), 16, 10).cast("long")
+    each = texts.groupBy("c").agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("t").isNull(), F.col("n")).otherwise(0)).alias("n_nulls"), F.sum(first * F.col("n")).alias("digest"), F.count("t").alias("n_distinct"))
+    found = columns.join(F.broadcast(each), F.col("i") == F.col("c"), "left")  # a row per column
+    return found.select("column_name", "kind", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_rows", "n_nulls", "digest", "n_distinct")))
 
 
 @dataclass

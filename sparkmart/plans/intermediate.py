@@ -40,10 +40,17 @@ def int_order_items_enriched(items: DataFrame, orders: DataFrame, units: DataFra
     )
 
 
-@model("intermediate", "order_id", "stg_orders", "int_order_items_enriched")
-def int_orders_item_rollup(orders: DataFrame, items: DataFrame) -> DataFrame:
+def _costed(items: DataFrame, units: DataFrame) -> DataFrame:
+    """Items with their unit's cost and no more: what rollups add up, without the joins of the enriched items."""
+    cost = units.select("inventory_item_id", F.col("cost").alias("product_cost"))
+    rows = items.select("order_id", "product_id", "inventory_item_id", "sale_price", (F.col("status") == "Returned").alias("is_returned"), F.col("created_at").alias("order_item_created_at"))
+    return rows.join(cost, "inventory_item_id", "left").withColumn("gross_margin", minus("sale_price", "product_cost"))
+
+
+@model("intermediate", "order_id", "stg_orders", "stg_order_items", "stg_inventory")
+def int_orders_item_rollup(orders: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
     """One row per order, without items too; whether all were returned is null where there is nothing to compare."""
-    totals = items.groupBy("order_id").agg(
+    totals = _costed(items, units).groupBy("order_id").agg(
         F.count("*").alias("n"), F.sum(_one_if("is_returned")).alias("back"), F.sum("sale_price").alias("revenue"), F.sum("product_cost").alias("cost"), F.sum("gross_margin").alias("margin")
     )
     rows = orders.select("order_id", "user_id", F.col("status").alias("order_status"), F.col("created_at").alias("order_created_at")).join(totals, "order_id", "left")
@@ -91,22 +98,27 @@ def int_cohorts_user_months(orders: DataFrame, cohorts: DataFrame) -> DataFrame:
     return months.join(cohorts.select("user_id", "cohort_month"), "user_id", "left").select(key.alias("user_month_key"), "user_id", "cohort_month", "activity_month", "orders", "items", "revenue")
 
 
-@model("intermediate", "product_id", "stg_products", "int_order_items_enriched")
-def int_products_sales(products: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per product, unsold too; every item is a unit sold, whatever its status."""
-    sales = items.groupBy("product_id").agg(
-        F.count("*").alias("units_sold"), F.countDistinct("order_id").alias("orders_with_product"), F.sum("sale_price").alias("gross_revenue"), F.sum("product_cost").alias("total_cost"),
+def product_totals(products: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
+    """One row per product, unsold too, with its sales and its returns from one aggregate of the items; every item is a unit sold."""
+    totals = _costed(items, units).groupBy("product_id").agg(
+        F.count("*").alias("n"), F.sum(_one_if("is_returned")).alias("back"), F.countDistinct("order_id").alias("orders_with_product"), F.sum("sale_price").alias("gross_revenue"), F.sum("product_cost").alias("total_cost"),
         F.sum("gross_margin").alias("gross_margin"), F.min("order_item_created_at").alias("first_sold_at"), F.max("order_item_created_at").alias("last_sold_at"),
     )
-    counts = [_count(c).alias(c) for c in ("units_sold", "orders_with_product")]
-    return products.select("product_id").join(sales, "product_id", "left").select("product_id", *counts, *(_amount(c).alias(c) for c in ("gross_revenue", "total_cost", "gross_margin")), "first_sold_at", "last_sold_at")
+    amounts = [_amount(c).alias(c) for c in ("gross_revenue", "total_cost", "gross_margin")]
+    rows = products.select("product_id").join(totals, "product_id", "left")
+    return rows.select("product_id", _count("n").alias("units_sold"), _count("orders_with_product").alias("orders_with_product"), *amounts, "first_sold_at", "last_sold_at", _count("back").alias("returned_units"), safe_divide("back", "n").alias("return_rate"))
+
+
+@model("intermediate", "product_id", "stg_products", "stg_order_items", "stg_inventory")
+def int_products_sales(products: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
+    """One row per product, unsold too; every item is a unit sold, whatever its status."""
+    return product_totals(products, items, units).drop("returned_units", "return_rate")
 
 
-@model("intermediate", "product_id", "stg_products", "int_order_items_enriched")
-def int_products_returns(products: DataFrame, items: DataFrame) -> DataFrame:
+@model("intermediate", "product_id", "stg_products", "stg_order_items", "stg_inventory")
+def int_products_returns(products: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
     """One row per product; the rate of an unsold one is null."""
-    returns = items.groupBy("product_id").agg(F.count("*").alias("n"), F.sum(_one_if("is_returned")).alias("back"))
-    return products.select("product_id").join(returns, "product_id", "left").select("product_id", _count("n").alias("units_sold"), _count("back").alias("returned_units"), safe_divide("back", "n").alias("return_rate"))
+    return product_totals(products, items, units).select("product_id", "units_sold", "returned_units", "return_rate")
 
 
 @model("intermediate", "inventory_item_id", "stg_inventory")
@@ -148,7 +160,11 @@ def int_events_sessions(events: DataFrame) -> DataFrame:
 
 
 def gap_sessions(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """One row per user and run of events without a gap of more than `minutes`: a window per user, then a sum of run beginnings."""
+    """One row per user and run of events without a gap of more than `minutes`: a window per user, then a sum of run beginnings.
+
+    Events without a user are left out: they are of no one user, and would be one partition of the window.
+    """
+    events = events.where("user_id is not null")
     order = Window.partitionBy("user_id").orderBy("created_at", "event_id")
     gap = seconds_between(F.lag("created_at").over(order), "created_at")
     begun = events.withColumn("new", F.when(gap.isNull() | (gap > minutes * 60), 1).otherwise(0))

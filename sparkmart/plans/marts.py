@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import INT, STRING, date_series, day_of_week_iso, days_between, format_month, int_series, json_value, month_number, month_start, quotient, round_money, safe_divide, struct_of, surrogate_key, unnest
 from ..functions.types import MONEY
-from .intermediate import _amount, _count
+from .intermediate import _amount, _count, product_totals
 from .registry import model
 
 
@@ -19,14 +19,11 @@ def dim_users(users: DataFrame, cohorts: DataFrame, lifetime: DataFrame) -> Data
     return who.join(cohorts.select("user_id", "cohort_month"), "user_id", "left").join(life, "user_id", "left")
 
 
-@model("mart", "product_id", "stg_products", "stg_centers", "int_products_sales", "int_products_returns")
-def dim_products(products: DataFrame, centers: DataFrame, sales: DataFrame, returns: DataFrame) -> DataFrame:
-    """One row per product."""
-    rows = (
-        products.join(centers.select("distribution_center_id", F.col("name").alias("distribution_center_name")), "distribution_center_id", "left")
-        .join(sales.select("product_id", "units_sold", "gross_revenue", "gross_margin"), "product_id", "left")
-        .join(returns.select("product_id", "returned_units", "return_rate"), "product_id", "left")
-    )
+@model("mart", "product_id", "stg_products", "stg_centers", "stg_order_items", "stg_inventory")
+def dim_products(products: DataFrame, centers: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
+    """One row per product; sales and returns come from one aggregate."""
+    totals = product_totals(products, items, units).select("product_id", "units_sold", "gross_revenue", "gross_margin", "returned_units", "return_rate")
+    rows = products.join(centers.select("distribution_center_id", F.col("name").alias("distribution_center_name")), "distribution_center_id", "left").join(totals, "product_id", "left")
     return rows.select(
         "product_id", F.col("name").alias("product_name"), "sku", "category", "department", "brand", "distribution_center_id", "distribution_center_name", F.col("cost").alias("unit_cost"), "retail_price",
         "units_sold", "gross_revenue", "gross_margin", "returned_units", "return_rate",
@@ -86,10 +83,10 @@ def mart_daily_revenue(days: DataFrame) -> DataFrame:
     return days.select(F.col("order_date").alias("revenue_date"), "order_count", "order_item_count", "customer_count", "gross_revenue", "total_cost", "gross_margin", value, "returned_item_count").orderBy("revenue_date")
 
 
-@model("mart", "product_id", "stg_products", "int_products_sales", "int_products_returns")
-def mart_product_performance(products: DataFrame, sales: DataFrame, returns: DataFrame) -> DataFrame:
-    """One row per product, best revenue first."""
-    rows = products.join(sales, "product_id", "left").join(returns.select("product_id", "returned_units", "return_rate"), "product_id", "left")
+@model("mart", "product_id", "stg_products", "stg_order_items", "stg_inventory")
+def mart_product_performance(products: DataFrame, items: DataFrame, units: DataFrame) -> DataFrame:
+    """One row per product, best revenue first; sales and returns come from one aggregate."""
+    rows = products.join(product_totals(products, items, units), "product_id", "left")
     return rows.select(
         "product_id", F.col("name").alias("product_name"), "category", "department", "brand", F.col("cost").alias("unit_cost"), "retail_price", "units_sold", "gross_revenue", "total_cost", "gross_margin",
         safe_divide("gross_margin", "gross_revenue").alias("gross_margin_rate"), "returned_units", "return_rate", "first_sold_at", "last_sold_at",
