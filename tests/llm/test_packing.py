@@ -64,3 +64,21 @@ def test_sources_and_copies_conflict(spark):
 
 def test_empty_table(spark):
     assert packing.packed(empty(spark)).collect() == []
+
+
+def test_a_hot_source_never_shares_a_bin(spark):
+    """The whole query's path over two shards: a third of the rows are of one source, and some texts are copies."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"w{rng.randrange(9)}" for _ in range(rng.randint(1, 60))), "en", "hot" if k % 3 == 0 else f"s{k % 70}", 0) for k in range(9000)]
+    rows += [(9000 + k, rows[k][1], "en", f"c{k}", 0) for k in range(300)]
+    by = {r[0]: r for r in rows}
+    bins = defaultdict(list)
+    for r in packing.packed(frame(spark, rows, extra=False), capacity=100).collect():
+        bins[r["bin_id"]].append(r)
+    assert len({b >> 32 for b in bins}) == 2
+    for parts in bins.values():
+        sources, texts = [by[p["doc_id"]][3] for p in parts], [by[p["doc_id"]][1] for p in parts]
+        assert len(set(sources)) == len(sources) and len(set(texts)) == len(texts)
+        assert sum(p["n_units"] for p in parts) == parts[0]["bin_units"] <= 100
+    assert len(bins) >= 3000
+    assert sum(p["n_units"] for parts in bins.values() for p in parts) == sum(len(words(r[1])) for r in rows)
