@@ -4,9 +4,10 @@ Candidates come by prefixes: with the shingles of all texts in one order, two se
 a similarity of 0.8 or more share one of their first n // 5 + 1 and m // 5 + 1. Any order is right. This one has
 shingles that are common in a sample of the texts last, then goes by hash, so that boilerplate and shared
 passages are seldom in a prefix. In a bucket of equal shingles a pair is passed over only if its sizes, or the
-shingle's places in both sets, rule 0.8 out. Every set has a sketch of `SKETCH` bits, each the parity of how many
-shingles fall on it; two sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches
-differ in more than 0.8 leaves room for is passed over too. Every other pair is decided by the two whole sets.
+shingle's places in both sets, rule 0.8 out. Every set has a sketch of as many bits as it has shingles, rounded
+up to a power of two (`SKETCH` at least), each the parity of how many shingles fall on it; of two lengths the longer is
+folded. Two sets differ in at least as many shingles as their sketches do in bits, so a pair whose sketches differ in
+more than 0.8 leaves room for is passed over too. Every other pair is decided by the two whole sets.
 
 Equal sets are one vertex (so copies cost nothing). Candidates are decided in rounds, each of pairs that stand
 further apart in their buckets, with texts brought to pairs; a pair whose ends are joined already is left out: it can't change a group. A
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, Scratch, buffers, chunks, mix, span_hashes, swept, windows, words
@@ -70,12 +71,27 @@ def vertices(s: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return mix(total + n.astype(U64)).view(np.int64)
 
 
-def sketches(s: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """SKETCH bits of each set, as signed 64-bit lanes: the parity of the shingles that fall on each bit."""
+def sketches(s: np.ndarray, edge: np.ndarray) -> pa.ListArray:
+    """Each set's sketch in signed 64-bit lanes: the parity of the shingles that fall on each bit."""
     n = np.diff(edge)
-    at = np.repeat(np.arange(len(n)), n) * SKETCH + (mix(s) >> U64(65 - SKETCH.bit_length())).astype(np.int64)
-    odd = (np.bincount(at, minlength=len(n) * SKETCH) & 1).astype(np.uint8).reshape(len(n), SKETCH)
-    return np.packbits(odd, axis=1, bitorder="little").view(np.int64)
+    bits = np.maximum(SKETCH, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(first[:-1], n) + (mix(s) & np.repeat(bits - 1, n).astype(U64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=first[-1]) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(first // 64, pa.int32()), pa.array(np.packbits(odd, bitorder="little").view(np.int64)))
+
+
+def apart(a: Column, b: Column) -> Column:
+    """In how many bits two sketches differ, both as long as the shorter one: a half of a sketch is exclusive-ored with the other to fold it."""
+    n = F.least(F.size(a), F.size(b))
+
+    def folded(c: Column) -> Column:
+        times = F.floor(F.size(c) / n).cast("int")
+        lane = lambda i: F.aggregate(F.sequence(F.lit(0), times - 1), F.lit(0).cast("long"), lambda x, j: x.bitwiseXOR(F.get(c, i + j * n)))
+        return F.transform(F.sequence(F.lit(0), n - 1), lane)
+
+    bits = F.zip_with(folded(a), folded(b), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda x, y: x + y)
 
 
 def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +127,7 @@ def signatures(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFr
                 size = np.where(n > 0, n // 5 + 1, 0)
                 s = s[np.arange(len(s)) - np.repeat(edge[:-1], n) < np.repeat(size, n)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s.view(np.int64)))
-                yield pa.record_batch({"id": part.column("id"), "h": part.column("h"), "key": part.column("key"), "vertex": pa.array(vertex), "n": pa.array(n, pa.int32()), "prefix": prefix, "sketch": pa.array(list(bits), pa.list_(pa.int64()))})
+                yield pa.record_batch({"id": part.column("id"), "h": part.column("h"), "key": part.column("key"), "vertex": pa.array(vertex), "n": pa.array(n, pa.int32()), "prefix": prefix, "sketch": bits})
 
     return texts.mapInArrow(run, "id long, h long, key long, vertex long, n int, prefix array<long>, sketch array<long>")
 
@@ -185,8 +201,8 @@ def alike(rows: DataFrame) -> DataFrame:
 def possible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, u, v): both ends' texts of the pairs whose sketches leave room for 0.8."""
     ends = [keys.select(F.col("vertex").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in keys.columns[1:])) for name in ("u", "v")]
-    apart = sum((F.bit_count(F.col(f"u_s{i}").bitwiseXOR(F.col(f"v_s{i}"))) for i in range(SKETCH // 64)), F.lit(0))
-    both = pairs.join(ends[0], "u").join(ends[1], "v").where(9 * apart <= F.col("u_n") + F.col("v_n"))
+    differ = apart(F.col("u_sketch"), F.col("v_sketch"))
+    both = pairs.join(ends[0], "u").join(ends[1], "v").where(9 * differ <= F.col("u_n") + F.col("v_n"))
     return both.select("u", "v", F.explode(F.array("u_key", "v_key")).alias("key")).select("key", "u", "v")
 
 
@@ -207,7 +223,7 @@ def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
     counts = scratch.write(entries.groupBy("token").agg(F.count("*").alias("count")).where("count > 1"), "counts")
     swept(texts.sparkSession)
     shared = scratch.write(entries.join(counts, "token"), "shared")
-    keys = scratch.write(nodes.select("vertex", "key", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64))), "keys")
+    keys = scratch.write(nodes.select("vertex", "key", "n", "sketch"), "keys")
     scratch.drop("nodes")
     scratch.drop("counts")
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")

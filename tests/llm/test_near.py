@@ -3,7 +3,9 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkmart.llm import near, simhash
 
@@ -71,6 +73,24 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert grouped(spark, texts) == dict(enumerate(closure([shingles(" ".join(w)) for w in texts])))
 
 
+def test_sketches_of_any_length_never_differ_in_more_bits_than_sets(spark):
+    """Sets of up to 5,000 shingles, of one length and of others; long sets that have little in common are told apart."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 6000).astype(np.uint64)
+    sets = [base[:0], base[:1], base[:300], base[:512], base[10:513], base[:1000], base[30:1060], base[:4090], base[:5000], base[900:6000], base[4090:]]
+    edge = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    got = near.sketches(np.concatenate(sets), edge).to_pylist()
+    assert [64 * len(x) for x in got] == [512, 512, 512, 512, 512, 1024, 2048, 4096, 8192, 8192, 2048]
+    whole = [set(x.tolist()) for x in sets]
+    rows = [(a, b, got[a], got[b]) for a in range(len(sets)) for b in range(len(sets))]
+    df = spark.createDataFrame(rows, "a int, b int, x array<long>, y array<long>").select("a", "b", near.apart(F.col("x"), F.col("y")).alias("apart"))
+    for r in df.collect():
+        assert r["apart"] <= len(whole[r["a"]] ^ whole[r["b"]]), r
+        assert r["a"] != r["b"] or r["apart"] == 0
+        if {r["a"], r["b"]} == {7, 10}:  # nothing in common
+            assert 9 * r["apart"] > len(sets[7]) + len(sets[10])
+
+
 def test_awkward_texts(spark):
     rows = [r for r in awkward() if r[0] is not None][:-3]
     got = {r["id"]: r["component_id"] for r in near.groups(frame(spark, rows)).withColumnRenamed("least", "component_id").collect()}
