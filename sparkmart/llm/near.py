@@ -206,12 +206,22 @@ def possible(pairs: DataFrame, keys: DataFrame) -> DataFrame:
     return both.select("u", "v", F.explode(F.array("u_key", "v_key")).alias("key")).select("key", "u", "v")
 
 
-def wanted_only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts whose key may be wanted: few others where wanted keys are few, and never one less. The filter's size is bounded by FILTER."""
-    place = F.pmod(F.col("key"), F.lit(FILTER))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
-    words = wanted.groupBy(F.floor(place / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return texts.join(F.broadcast(words), F.floor(place / 64) == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+def sifted(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key may be in wanted (`key`), few others where wanted keys are few and never one less; and the other rows.
+
+    Rows stay where they are: tasks get the wanted keys as a filter, whose size is bounded by FILTER.
+    """
+
+    def placed(k: Column) -> tuple[Column, Column]:
+        place = F.pmod(k, F.lit(FILTER))
+        return F.floor(place / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int"))
+
+    word, bit = placed(F.col("key"))
+    words = wanted.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits"))
+    word, bit = placed(key)
+    both = rows.join(F.broadcast(words), word == F.col("__word"), "left")
+    may = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return both.where(may).drop("__word", "__bits"), both.where(~may).drop("__word", "__bits")
 
 
 def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
@@ -241,7 +251,7 @@ def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
         rows = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "vertex")
         pairs = scratch.write(candidates(rows, low, high), f"pairs{k}")
         wanted = scratch.write(possible(pairs, keys), f"wanted{k}")
-        rows = wanted_only(texts, wanted).join(wanted, "key").select("u", "v", "text").repartition("u", "v").sortWithinPartitions("u", "v")
+        rows = sifted(texts, F.col("key"), wanted)[0].join(wanted, "key").select("u", "v", "text").repartition("u", "v").sortWithinPartitions("u", "v")
         good = scratch.write(alike(rows), f"good{k}")
         for old in ("label", "mixed", "pairs", "wanted"):
             scratch.drop(f"{old}{k}")
