@@ -82,3 +82,15 @@ def test_bounds_prune_blocks(monkeypatch):
     _, found, score, done = topk.searched(w[:3], np.arange(3), w, np.arange(400), 5)
     assert done < 3 * 50
     assert set(found) <= set(range(16))
+
+
+def test_copies_of_query_blocks_are_not_broadcast(spark):
+    df = spark.createDataFrame(rows(), "vec_id long, embedding array<float>")
+    plan = topk.search(df, df.where("vec_id % 100 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [group" in plan and "BroadcastExchange" not in plan
+
+
+@pytest.mark.parametrize(("most", "size"), [(127, 1), (-128, 1), (128, 2), (-(1 << 31), 4), (1 << 31, 8)])
+def test_weights_take_the_fewest_bytes(most, size):
+    got = topk.narrow(np.array([[0, most]], np.int64))
+    assert (got.itemsize, got.tolist()) == (size, [[0, most]])
