@@ -67,11 +67,8 @@ def io_csv_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def derby(spark: SparkSession, sf_dir: str, *tables: str) -> str:
-    """A database beside Spark's, of this process's memory, with some tables."""
-    url = f"jdbc:derby:memory:m{uuid.uuid4().hex};create=true"
-    for t in tables:
-        read(spark, sf_dir, t).write.jdbc(url, t.upper(), mode="overwrite", properties={"driver": measure.DERBY})
-    return url
+    """A database beside Spark's, with some tables, that the driver and all executors can open."""
+    return measure.derby(spark, **{t: read(spark, sf_dir, t) for t in tables})
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey > 2")
