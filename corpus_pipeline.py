@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmart.llm import langid, near, packing, quality, substring
-from sparkmart.llm.common import Scratch
+from sparkmart.llm.common import Scratch, swept
 from sparkmart.session import ship
 
 
@@ -25,11 +25,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; rows of the group that repeat its id stay with it.
 
+    Links are the SimHash operator's, decided by the whole sets, and those that an exact way adds (`near`).
+
     Rows are told apart by id and text, so a row stays or goes with its own text's group, whatever other texts its
     id has. A row without an id goes if its group has an id; of a group without any, the row with the least text
     stays (of equal ones the least in the other columns, in their order), and it alone.
     """
-    ship(spark)
+    swept(ship(spark))
     scratch = Scratch(spark)
     groups = scratch.write(near.groups(docs), "groups")
     losers = scratch.write(groups.where("least < id").select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct(), "losers")
@@ -47,13 +49,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that a document with a smaller id has too."""
-    ship(spark)
+    swept(ship(spark))
     return substring.dedup(docs)
 
 
 def packing_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in bins."""
-    ship(spark)
+    swept(ship(spark))
     return packing.packed(docs)
 
 

@@ -62,9 +62,14 @@ class Scratch:
 
 
 def swept(spark: SparkSession) -> None:
-    """Lets shuffle files of what is done go at once; else they stay until the driver happens to collect its garbage."""
+    """Lets shuffle files of what is done go at once; else they stay until the driver happens to collect its garbage.
+
+    Executors collect theirs too, as a heap that one step has grown else stays as large beside the next step's workers.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') as done").collect()
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,6 +1,11 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more; no such pair is missed.
 
-Candidates come by prefixes: with the shingles of all texts in one order, two sets of n and m shingles with
+First come the links of the SimHash operator (`simhash.links`: fingerprints of three-word shingles, buckets by the
+generalised pigeonhole, 3 or fewer differing bits). Fingerprints that near may belong to texts below 0.8, so each of its
+links is decided by the two whole sets before it counts. Of the pairs at 0.8 and more it knows those with near
+fingerprints; the rest come by an exact way.
+
+There candidates come by prefixes: with the shingles of all texts in one order, two sets of n and m shingles with
 a similarity of 0.8 or more share one of their first n // 5 + 1 and m // 5 + 1. Any order is right. This one has
 shingles that are common in a sample of the texts last, then goes by hash, so that boilerplate and shared
 passages are seldom in a prefix. In a bucket of equal shingles a pair is passed over only if its sizes, or the
@@ -23,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import LOWER, U64, Scratch, buffers, chunks, mix, span_hashes, swept, windows, words
 from .components import star_edges
 
@@ -110,7 +116,7 @@ def common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(id, h, key, vertex, n, prefix, sketch): the size of each text's set, its first shingles and its sketch."""
+    """(id, h, key, vertex, n, prefix, sketch, fp): the size of each text's set, its first shingles, its sketch, and the text's SimHash."""
     often, count = known
 
     def run(batches):
@@ -127,9 +133,9 @@ def signatures(texts: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> DataFr
                 size = np.where(n > 0, n // 5 + 1, 0)
                 s = s[np.arange(len(s)) - np.repeat(edge[:-1], n) < np.repeat(size, n)]
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(s.view(np.int64)))
-                yield pa.record_batch({"id": part.column("id"), "h": part.column("h"), "key": part.column("key"), "vertex": pa.array(vertex), "n": pa.array(n, pa.int32()), "prefix": prefix, "sketch": bits})
+                yield pa.record_batch({"id": part.column("id"), "h": part.column("h"), "key": part.column("key"), "vertex": pa.array(vertex), "n": pa.array(n, pa.int32()), "prefix": prefix, "sketch": bits, "fp": simhash.packed(simhash.exact_fingerprints(*buffers(part.column("text")), 3))})
 
-    return texts.mapInArrow(run, "id long, h long, key long, vertex long, n int, prefix array<long>, sketch array<long>")
+    return texts.mapInArrow(run, "id long, h long, key long, vertex long, n int, prefix array<long>, sketch array<long>, fp binary")
 
 
 def candidates(rows: DataFrame, low: int, high: int) -> DataFrame:
@@ -224,9 +230,17 @@ def sifted(rows: DataFrame, key: Column, wanted: DataFrame) -> tuple[DataFrame,
     return both.where(may).drop("__word", "__bits"), both.where(~may).drop("__word", "__bits")
 
 
+def by_simhash(prints: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v): pairs of vertices with equal or linked fingerprints, enough to join all of these; prints: (vertex, fp)."""
+    nodes = scratch.write(prints.groupBy("fp").agg(F.min("vertex").alias("node")), "fps")
+    equal = prints.join(nodes, "fp").where("vertex <> node").select(F.col("node").alias("u"), F.col("vertex").alias("v"))
+    pairs = simhash.links(nodes, 3, 8, simhash.PARTS).unionByName(equal)
+    return pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
     """(u, v): v is the least vertex of u's group, for every u that isn't the least itself. found: `signatures`."""
-    nodes = scratch.write(found.groupBy("vertex").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch")), "nodes")
+    nodes = scratch.write(found.groupBy("vertex").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.min("fp").alias("fp")), "nodes")
     scratch.drop("signatures")
     swept(texts.sparkSession)
     entries = nodes.select("vertex", "n", F.posexplode("prefix").alias("pos", "token"))
@@ -234,28 +248,35 @@ def links(texts: DataFrame, scratch: Scratch, found: DataFrame) -> DataFrame:
     swept(texts.sparkSession)
     shared = scratch.write(entries.join(counts, "token"), "shared")
     keys = scratch.write(nodes.select("vertex", "key", "n", "sketch"), "keys")
+    prints = scratch.write(nodes.select("vertex", "fp"), "prints")
     scratch.drop("nodes")
     scratch.drop("counts")
+
+    def decided(pairs: DataFrame, name: str) -> DataFrame:
+        wanted = scratch.write(possible(pairs, keys), f"wanted{name}")
+        rows = sifted(texts, F.col("key"), wanted)[0].join(wanted, "key").select("u", "v", "text").repartition("u", "v").sortWithinPartitions("u", "v")
+        good = scratch.write(alike(rows), f"good{name}")
+        scratch.drop(f"wanted{name}")
+        return good
+
+    swept(texts.sparkSession)
+    stars = star_edges(decided(scratch.write(by_simhash(prints, scratch), "linked"), "linked"), Scratch(texts.sparkSession))
     own = F.pmod(F.xxhash64("vertex"), F.col("blocks")).cast("int")
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.greatest(j, own) * F.col("blocks") + F.least(j, own))
-    stars, left = None, shared.withColumn("label", F.col("vertex"))
     for k, (low, high) in enumerate(ROUNDS):
         swept(texts.sparkSession)
-        if stars is not None:
-            # only buckets that still have two groups
-            label = shared.join(stars.select(F.col("u").alias("vertex"), F.col("v").alias("root")), "vertex", "left").withColumn("label", F.coalesce("root", "vertex")).drop("root")
-            left = scratch.write(label, f"label{k}")
-            mixed = scratch.write(left.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token"), f"mixed{k}")
-            left = left.join(mixed, "token", "left_semi")
+        # only buckets that still have two groups
+        label = shared.join(stars.select(F.col("u").alias("vertex"), F.col("v").alias("root")), "vertex", "left").withColumn("label", F.coalesce("root", "vertex")).drop("root")
+        left = scratch.write(label, f"label{k}")
+        mixed = scratch.write(left.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("token"), f"mixed{k}")
+        left = left.join(mixed, "token", "left_semi")
         rows = left.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).withColumn("part", F.explode(pair))
         rows = rows.repartition("token", "part").sortWithinPartitions("token", "part", "n", "vertex")
         pairs = scratch.write(candidates(rows, low, high), f"pairs{k}")
-        wanted = scratch.write(possible(pairs, keys), f"wanted{k}")
-        rows = sifted(texts, F.col("key"), wanted)[0].join(wanted, "key").select("u", "v", "text").repartition("u", "v").sortWithinPartitions("u", "v")
-        good = scratch.write(alike(rows), f"good{k}")
-        for old in ("label", "mixed", "pairs", "wanted"):
+        good = decided(pairs, str(k))
+        for old in ("label", "mixed", "pairs"):
             scratch.drop(f"{old}{k}")
-        stars = star_edges(good if stars is None else good.unionByName(stars), Scratch(texts.sparkSession))
+        stars = star_edges(good.unionByName(stars), Scratch(texts.sparkSession))
     return stars
 
 

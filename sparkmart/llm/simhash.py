@@ -66,17 +66,22 @@ def exact_fingerprints(buf: np.ndarray, offs: np.ndarray, width: int, seed: int
     return sign_bits(h, edge)[:, None]
 
 
+def packed(fp: np.ndarray) -> pa.Array:
+    """Fingerprints as binary, the high byte first."""
+    size = 8 * fp.shape[1]
+    data = pa.py_buffer(np.ascontiguousarray(fp, dtype=">u8").tobytes())
+    edge = pa.py_buffer(np.arange(0, size * (len(fp) + 1), size, dtype=np.int32)[: len(fp) + 1])
+    return pa.Array.from_buffers(pa.binary(), len(fp), [None, edge, data])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp): binary of 8 bytes, the high byte first. No words, or null: all bits zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text_col):
-                fp = np.ascontiguousarray(exact_fingerprints(*buffers(part.column(text_col)), width), dtype=">u8")
-                size = 8 * fp.shape[1]
-                data = pa.py_buffer(fp.tobytes())
-                edge = pa.py_buffer(np.arange(0, size * (len(fp) + 1), size, dtype=np.int32)[: len(fp) + 1])
-                yield pa.record_batch({"id": part.column(id_col).cast(pa.int64()), "fp": pa.Array.from_buffers(pa.binary(), len(fp), [None, edge, data])})
+                fp = exact_fingerprints(*buffers(part.column(text_col)), width)
+                yield pa.record_batch({"id": part.column(id_col).cast(pa.int64()), "fp": packed(fp)})
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, "id long, fp binary")
 
@@ -286,17 +291,22 @@ def blocks(e: DataFrame) -> DataFrame:
     return e.join(hot, "key", "left").select("key", F.explode(pair).alias("part"), "node", "fp")
 
 
+def links(nodes: DataFrame, most: int, size: int, groups: int | range) -> DataFrame:
+    """Edges (u, v) that join every pair of fingerprints within `most` bits, v the smaller; nodes: (fp, node), a row for each fingerprint."""
+    real = nodes.where("node is not null")
+    n, joint = joint_counts(real, size)
+    parts, thresholds = plan(n, joint, most, groups if isinstance(groups, range) else range(groups, groups + 1))
+    e = blocks(entries(real, size, parts, thresholds))
+    return linked(e.repartition("key", "part").sortWithinPartitions("key", "part"), size, most)
+
+
 def components(fps: DataFrame, most: int, size: int, groups: int | range, scratch: Scratch) -> DataFrame:
     """(fp, node, component_id) for every distinct fingerprint; node: its smallest id. fps: (id, fp).
 
     Every pair within `most` bits is found. Fingerprints whose ids are all null make no links.
     """
     nodes = scratch.write(fps.groupBy("fp").agg(F.min("id").alias("node")), "nodes")
-    real = nodes.where("node is not null")
-    n, joint = joint_counts(real, size)
-    parts, thresholds = plan(n, joint, most, groups if isinstance(groups, range) else range(groups, groups + 1))
-    e = blocks(entries(real, size, parts, thresholds))
-    stars = star_edges(linked(e.repartition("key", "part").sortWithinPartitions("key", "part"), size, most), scratch)
+    stars = star_edges(links(nodes, most, size, groups), scratch)
     return nodes.join(stars.withColumnRenamed("u", "node").withColumnRenamed("v", "root"), "node", "left").select("fp", "node", F.coalesce("root", "node").alias("component_id"))
 
 

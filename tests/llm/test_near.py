@@ -4,10 +4,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sparkmart.llm import near, simhash
+from sparkmart.llm.common import buffers
 
 from .helpers import SCHEMA, awkward, empty, frame, words
 
@@ -97,3 +99,19 @@ def test_awkward_texts(spark):
     want = closure([shingles(r[1]) for r in rows])
     assert got == {r[0]: rows[want[k]][0] for k, r in enumerate(rows)}
     assert near.groups(empty(spark)).collect() == []
+
+
+def test_links_of_simhash_come_first_and_are_decided(spark, monkeypatch):
+    monkeypatch.setattr(near, "ROUNDS", ())  # without the exact way: SimHash's links alone
+    rng = random.Random(11)
+    texts = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(4)]
+    texts += [changed(rng, t, n) for t in texts for n in (1, 1, 2, 2, 3)]
+    texts += ["a b c a b c a b c".split(), "a b c a b c a b c a b c x".split()]
+    words_of, texts = texts, [" ".join(t) for t in texts]
+    fp = [int(simhash.exact_fingerprints(*buffers(pa.array([t])), 3)[0, 0]) for t in texts]
+    pairs = [(i, j) for j in range(len(texts)) for i in range(j) if (fp[i] ^ fp[j]).bit_count() <= 3]
+    alike = [p for p in pairs if similarity(shingles(texts[p[0]]), shingles(texts[p[1]])) >= 0.8]
+    got = grouped(spark, words_of)
+    same = {(i, j) for j in range(len(texts)) for i in range(j) if got[i] == got[j]}
+    assert alike and same and all(similarity(shingles(texts[i]), shingles(texts[j])) >= 0.8 for i, j in same)
+    assert set(alike) <= same
